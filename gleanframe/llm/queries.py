@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 from .exact_dedup import DigestIndex, exact_dedup
+from .minhash import edited_fingerprints
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -26,6 +27,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -39,7 +44,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pack": op4_pack, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts}
+    return {"op4_pack": op4_pack, "op6_fingerprints": op6_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
