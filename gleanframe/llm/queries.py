@@ -12,6 +12,7 @@ from .common import scratch_path
 from .exact_dedup import DigestIndex, exact_dedup
 from .minhash import edited_fingerprints
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -36,6 +37,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_duplicates(_documents(spark, sf_dir))
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -44,7 +50,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pack": op4_pack, "op6_fingerprints": op6_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts}
+    return {"op4_pack": op4_pack, "op6_fingerprints": op6_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
