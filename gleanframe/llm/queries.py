@@ -12,6 +12,7 @@ from .common import scratch_path
 from .exact_dedup import DigestIndex, exact_dedup
 from .minhash import edited_fingerprints
 from .packing import pack
+from .rlz_dedup import dedup_spans
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -28,6 +29,11 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_spans(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
@@ -50,7 +56,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pack": op4_pack, "op6_fingerprints": op6_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
+    return {"op4_pack": op4_pack, "op5_substring_dedup": op5_substring_dedup, "op6_fingerprints": op6_fingerprints, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
