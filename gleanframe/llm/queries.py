@@ -12,7 +12,7 @@ from .common import scratch_path
 from .exact_dedup import DigestIndex, exact_dedup
 from .minhash import edited_fingerprints
 from .packing import pack
-from . import rlz_dedup, suffix_dedup, toxicity
+from . import rlz_dedup, suffix_dedup, toxicity, wfst
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -25,6 +25,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), DigestIndex(spark, scratch_path(spark, "index")))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = wfst.encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -68,7 +75,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_pack": op4_pack, "op5_substring_dedup": op5_substring_dedup, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op4_pack": op4_pack, "op5_substring_dedup": op5_substring_dedup, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
