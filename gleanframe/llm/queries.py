@@ -12,7 +12,7 @@ from .common import scratch_path
 from .exact_dedup import DigestIndex, exact_dedup
 from .minhash import edited_fingerprints
 from .packing import pack
-from . import rlz_dedup, suffix_dedup, toxicity, wfst
+from . import cotrain, rlz_dedup, suffix_dedup, toxicity, wfst
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -39,6 +39,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = cotrain.score(docs, model)
+    return scored.select("doc_id", cotrain.held_out("doc_id").alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -75,7 +82,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op4_pack": op4_pack, "op5_substring_dedup": op5_substring_dedup, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_pack": op4_pack, "op5_substring_dedup": op5_substring_dedup, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
