@@ -14,24 +14,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch_path
+from .common import scratch_path
 
 ROWS_PER_BLOCK = 256
 #: Stands for a null id, so that it is larger than any other.
 NO_ID = (1 << 63) - 1
 
 
-def write_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, row, doc_id, text), written once to a table bucketed by block, without a shuffle.
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, row, doc_id, text, rest), written once to a table bucketed by block, without a shuffle.
 
     Blocks are runs of rows of a scan partition. The later passes group and cogroup by block on
-    the buckets as they lie, so texts never go through an exchange.
+    the buckets as they lie, so texts never go through an exchange. rest has the carried columns.
     """
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select(F.floor(F.col("row") / ROWS_PER_BLOCK).cast("bigint").alias("block"), "row", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rest = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.floor(F.col("row") / ROWS_PER_BLOCK).cast("bigint").alias("block"), "row", "doc_id", "text", "rest")
     rows.write.bucketBy(buckets, "block").format("parquet").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 

@@ -52,14 +52,15 @@ def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's bit pattern as a signed long."""
+    """(doc_id, fp, text_key): fp is the unsigned fingerprint's bit pattern as a signed long; text_key is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_key"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(run, "doc_id bigint, fp bigint, text_key bigint")
 
 
 class Tree:
@@ -211,7 +212,7 @@ def links(prints: DataFrame, limit: int = 4, seed: int = 7) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least id that can be reached over links.
+    """(doc_id, fp, text_key, component_id): component_id is the least id that can be reached over links.
 
     Equal fingerprints are joined first and count once in everything that follows. A fingerprint
     with more than 1/1024 of all rows is one of fewer than 1024, which are broadcast; the rows of
@@ -227,4 +228,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = known.where(F.col("n") > max(1, total // 1024)).select("fp", F.col("component_id").alias("hot_id"))
     marked = rows.join(F.broadcast(hot), "fp", "left").withColumn("key", F.when(F.col("hot_id").isNull(), F.col("fp").cast("string")).otherwise(F.concat(F.lit("hot "), F.col("doc_id").cast("string"))))
     cold = known.select(F.col("fp").cast("string").alias("key"), "component_id").hint("merge")
-    return marked.join(cold, "key", "left").select("doc_id", "fp", F.coalesce("hot_id", "component_id").alias("component_id"))
+    return marked.join(cold, "key", "left").select("doc_id", "fp", "text_key", F.coalesce("hot_id", "component_id").alias("component_id"))

@@ -7,8 +7,8 @@ the task of its anchor. There the contexts' suffixes are sorted in two stages: d
 are smaller than their successors, all others by one scan over the buckets of first bytes. Adjacent
 suffixes with a common prefix of `window` bytes are repeats.
 
-A null text counts as empty and a null id is kept. Removal may cut a multi-byte character: the kept
-text is therefore bytes. An empty table gives an empty result. Only the id and the text are read.
+A null text counts as empty and a null id is kept. Removal may cut a multi-byte character: what is
+kept is therefore bytes, and kept_text has their whole characters. An empty table gives an empty result. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SORT_LOT = 1 << 18
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-RESULT = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>"
+RESULT = "kept binary, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>"
 CONTEXT = "bucket int, key bigint, context binary, starts int, block bigint, rows array<bigint>, places array<bigint>"
 
 
@@ -189,8 +189,8 @@ def _lots(table: pa.Table, window: int, anchor: int) -> Iterator[_Lot]:
         yield _Lot(held, window, anchor)
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = ANCHOR_BYTES) -> DataFrame:
-    """One row per document: its kept bytes and the spans of bytes that went.
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, anchor: int = ANCHOR_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its kept bytes and the spans of bytes that went; rest has the columns to carry.
 
     Anchors are shuffled as one row per block and anchor, contexts as one row per block and distinct
     context; texts are not shuffled. Where an anchor has more than HOT contexts, they are cut into
@@ -198,7 +198,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that agree in nearly a whole window meet.
     """
     anchor = min(anchor, window)
-    table = write_blocks(docs, id_col, text_col)
+    table = write_blocks(docs, id_col, text_col, carry)
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // 512)
 
@@ -322,8 +322,9 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out["n_removed"].append(len(data) - len(kept))
             out["spans"].append([{"start": x, "stop": y} for x, y in zip(a, b)])
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.table({"doc_id": part.column("doc_id"), "kept": pa.array(out["kept"], pa.binary()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "spans": pa.array(out["spans"], spans_type)})
+        texts = [x.decode("utf-8", "ignore") for x in out["kept"]]
+        return pa.table({"doc_id": part.column("doc_id"), "kept_text": pa.array(texts, pa.string()), "rest": part.column("rest"), "kept": pa.array(out["kept"], pa.binary()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "spans": pa.array(out["spans"], spans_type)})
 
     contexts = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts_of, CONTEXT)
     spans = contexts.groupBy("bucket").applyInArrow(repeats_of, "block bigint, row bigint, start bigint, stop bigint")
-    return table.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, RESULT)
+    return table.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, f"doc_id bigint, kept_text string, rest {table.schema['rest'].dataType.simpleString()}, {RESULT}")
