@@ -6,6 +6,7 @@ import csv
 import os
 import shutil
 import unicodedata
+from collections.abc import Callable
 from pathlib import Path, PurePosixPath
 
 import pandas as pd
@@ -54,10 +55,15 @@ def _suffixed(path: Column, digits: Column) -> Column:
     return out
 
 
-def transfer(plan: DataFrame, root: str, mode: str) -> list[tuple[str, str, str]]:
-    """Copies, links or moves on the driver, once: (rel_path, dest, error) each. Needs (rel_path, abs_path, dest)."""
-    done = []
+def transfer(plan: DataFrame, root: str, mode: str, progress: Callable[[str, int, int], None] | None = None) -> list[tuple[str, str, str]]:
+    """Copies, links or moves on the driver, once: (rel_path, dest, error) each. Needs (rel_path, abs_path, dest).
+
+    A progress listener that raises stops the transfer.
+    """
+    done, of = [], plan.count() if progress else 0
     for row in plan.select("rel_path", "abs_path", "dest").orderBy("rel_path").toLocalIterator():
+        if progress:
+            progress("transferring", len(done), of)
         target = Path(root) / row["dest"]
         try:
             if not os.path.isfile(row["abs_path"]):

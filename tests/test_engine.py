@@ -212,3 +212,30 @@ def test_stream_scores_arrivals(spark, tmp_path):
     stream.select("ord", "score").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = scoring.with_score(scoring.with_gates(rows, ScanConfig()), TargetProfile(), ScanConfig(), True)
     assert sorted(spark.table("arrived").collect()) == sorted(batch.select("ord", "score").collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from gleanframe import api, cli
+
+    for rel, seed in (("a/x.png", 1), ("b/x.png", 2)):
+        png(tmp_path / "in" / rel, noise(seed))
+    assert cli.main([str(tmp_path / "in"), "--min-score", "0", "--flatten", "--copy-to", str(tmp_path / "out")], spark) == 0
+    text = capsys.readouterr().out
+    assert '"passed": 2' in text and '"exported": 2' in text
+    lines = [json.loads(x) for x in (tmp_path / "out/manifest.jsonl").read_text().splitlines()]
+    assert [x["rel_path"] for x in lines] == ["a/x.png", "b/x.png"] and all((tmp_path / "out" / x["exported_path"]).is_file() for x in lines)
+
+    calls = []
+    scan = api.scan_folder(spark, str(tmp_path / "in"), progress=lambda *x: calls.append(x) or 1 / 0)
+    assert calls and scan.page(1, 5)["returned"] == 1 and json.loads(api.wire_schema(scan))["type"] == "struct"
+    moved = api.export_selection(scan, ExportRequest(min_score=0.0, mode="move", allow_move=True), "gone", root=str(tmp_path))
+    assert moved["exported"] == 2 and not (tmp_path / "in/a/x.png").exists()
+    assert json.loads((tmp_path / "gone/manifest.jsonl").read_text().splitlines()[0])["abs_path"] == str(tmp_path / "gone/a/x.png")
+    again = api.export_selection(scan, ExportRequest(min_score=0.0), "copy", root=str(tmp_path))
+    assert (again["exported"], again["skipped"]) == (0, 2)
+    with pytest.raises(PermissionError):
+        api.export_selection(scan, ExportRequest(), "../out", root=str(tmp_path))
+    with pytest.raises(ZeroDivisionError):
+        api.export_selection(scan, ExportRequest(min_score=0.0), "copy", root=str(tmp_path), progress=lambda *x: 1 / 0)
