@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import ExportRequest, FaceConfig, ScanConfig, TargetProfile
 from .functions import scoring
 from .operators import dedup, export, faces, selection, summary
-from .operators.ordering import checkpointed, with_row_number
+from .operators.ordering import checkpointed, ensure_checkpoint_dir, with_row_number
 from .sources import adapter, images
 from .sources.store import ScanStore
 
@@ -296,7 +296,8 @@ def g3_pose_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL} SELECT ord, similar_group, score FROM grouped ORDER BY ord LIMIT 20 OFFSET 30")
 def g6_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = ScanStore(spark, tempfile.mkdtemp(prefix="gleanframe-store-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/store-{spark.sparkContext.applicationId}")
+    ensure_checkpoint_dir(spark)
+    store = ScanStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
     store.save("a/b", _results(spark, sf_dir).select("ord", "similar_group", "score"))
     return store.load_page("a/b", 30, 20)
 
