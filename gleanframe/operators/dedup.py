@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from .ordering import checkpointed, with_row_number
 
 #: Rows up to which all pairs of distinct hashes are compared in one broadcast join.
 SMALL = 20_000
+#: Near pairs up to which leaders are found in one task.
+SMALL_EDGES = 500_000
 BITS = 64
 
 
@@ -66,6 +69,30 @@ def greedy_leaders(images: DataFrame, distance: int) -> DataFrame:
     a, b = heads.select(F.col("hash").alias("a"), F.col("rank").alias("ra")), heads.select(F.col("hash").alias("b"), F.col("rank").alias("rb"))
     edges = pairs.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
     edges = checkpointed(edges)
+    leader = _leaders_at_once(edges) if edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES else _leaders_in_rounds(heads, edges)
+    # a representative leads its equals; a duplicate's equals have its leader
+    heads = heads.join(leader, F.col("rank") == F.col("hi"), "left").select("hash", F.coalesce("leader", "rank").alias("leader"))
+    names = ranked.select(F.col("rank").alias("leader"), F.col("rel_path").alias("duplicate_of"))
+    found = ranked.join(heads, "hash").where(F.col("rank") != F.col("leader")).join(names, "leader").select("rel_path", "duplicate_of")
+    return images.join(found, "rel_path", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull()).select(*none.columns)
+
+
+def _leaders_at_once(edges: DataFrame) -> DataFrame:
+    """(hi, leader) of the duplicates among at most SMALL_EDGES near pairs, in one task."""
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["hi", "lo"])
+        leader: dict[int, int] = {}
+        for lo, hi in zip(part["lo"].tolist(), part["hi"].tolist()):
+            if hi not in leader and lo not in leader:
+                leader[hi] = lo
+        return pd.DataFrame({"hi": list(leader), "leader": list(leader.values())}, dtype="int64")
+
+    return edges.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "hi bigint, leader bigint")
+
+
+def _leaders_in_rounds(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hi, leader) of the duplicates: each round settles all rows whose earlier neighbours allow it."""
     state = checkpointed(heads.select("rank", F.lit(None).cast("string").alias("state")))
     while True:
         # what the earlier neighbours of each open row are: -> has a representative, has an open one
@@ -81,13 +108,7 @@ def greedy_leaders(images: DataFrame, distance: int) -> DataFrame:
         if state.where("state is null").limit(1).count() == 0:
             break
     reps = state.where("state = 'rep'").select(F.col("rank").alias("lo"))
-    leader = edges.join(reps, "lo", "left_semi").groupBy("hi").agg(F.min("lo").alias("leader"))
-    # a representative leads its equals; a duplicate's equals have its leader
-    heads = heads.join(state, "rank").join(leader, F.col("rank") == F.col("hi"), "left")
-    heads = heads.select("hash", F.col("rank").alias("head"), F.when(F.col("state") == "rep", F.col("rank")).otherwise(F.col("leader")).alias("leader"))
-    names = ranked.select(F.col("rank").alias("leader"), F.col("rel_path").alias("duplicate_of"))
-    found = ranked.join(heads, "hash").where(F.col("rank") != F.col("leader")).join(names, "leader").select("rel_path", "duplicate_of")
-    return images.join(found, "rel_path", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull()).select(*none.columns)
+    return edges.join(reps, "lo", "left_semi").groupBy("hi").agg(F.min("lo").alias("leader"))
 
 
 def with_groups(images: DataFrame) -> DataFrame:

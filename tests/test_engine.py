@@ -54,8 +54,9 @@ def leaders(rows, d):
     return out
 
 
-@pytest.mark.parametrize("d", [-1, 0, 3, 10, 64])
-def test_greedy_leaders(spark, d, monkeypatch):
+@pytest.mark.parametrize("d, edges", [(-1, 1), (0, 1), (3, 1), (10, 0), (10, 10**6), (64, 10**6)])
+def test_greedy_leaders(spark, d, edges, monkeypatch):
+    monkeypatch.setattr(dedup, "SMALL_EDGES", edges)
     rng = random.Random(d)
     base = [rng.getrandbits(64) for _ in range(6)]
     rows = []
