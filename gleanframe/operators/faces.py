@@ -12,6 +12,9 @@ from ..functions.scoring import pose_bucket
 from .ordering import checkpointed, with_row_number
 
 
+NO_FACE = (1 << 63) - 1
+
+
 def valid_faces(detections: DataFrame, cfg: FaceConfig) -> DataFrame:
     """Detections(ord, rel_path, face_no, x1, y1, x2, y2, det_score, yaw, pitch, embedding) worth keeping.
 
@@ -89,9 +92,18 @@ def identities(faces: DataFrame, eps: float, method: str = "average") -> DataFra
         if a.empty or b.empty:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        i, j = np.nonzero(1.0 - x @ y.T < eps)
-        u, v = a["face_id"].to_numpy()[i], b["face_id"].to_numpy()[j]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})[u != v]
+        u, v = a["face_id"].to_numpy(), b["face_id"].to_numpy()
+        close = 1.0 - x @ y.T < eps
+        # a star from the least face of each part of the blocks' graph, instead of all its pairs
+        least_u, least_v = u.copy(), v.copy()
+        while True:
+            new_v = np.minimum(least_v, np.where(close, least_u[:, None], NO_FACE).min(axis=0))
+            new_u = np.minimum(least_u, np.where(close, new_v[None, :], NO_FACE).min(axis=1))
+            if np.array_equal(new_u, least_u) and np.array_equal(new_v, least_v):
+                break
+            least_u, least_v = new_u, new_v
+        ids, roots = np.concatenate((u, v)), np.concatenate((least_u, least_v))
+        return pd.DataFrame({"u": roots, "v": ids})[roots != ids]
 
     edges = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "u bigint, v bigint").distinct()
     parts = components(own.select(F.col("face_id").alias("node")), edges)

@@ -234,6 +234,22 @@ def e9_primary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.primary_faces(named).select("rel_path", "face_count", "primary_face_cluster", "primary_face_pose")
 
 
+@query("""SELECT vec_id AS face_id, greatest(0.0::DOUBLE, 1 - (abs(((vec_id * 13) % 400 + ((vec_id * 29) % 200 + 1) / 2) / 640 - 0.5::DOUBLE) * 2 + abs(((vec_id * 17) % 300 + ((vec_id * 31) % 160 + 1) / 2) / 480 - 0.5::DOUBLE) * 2) / 2) AS centrality FROM embeddings""")
+def c8_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = _detections(spark, sf_dir)
+    return box.select("face_id", faces.centrality(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(640), F.lit(480)).alias("centrality"))
+
+
+@query(f"""WITH RECURSIVE {_FACES} SELECT rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY face_id) - 1 AS face_no, x, y, w, h, det_score, cluster_id, pose,
+  row_number() OVER (PARTITION BY rel_path ORDER BY area * (0.5::DOUBLE + 0.5::DOUBLE * det_score) DESC, face_id) = 1 AS is_primary FROM labelled JOIN clusters USING (label)""")
+def e4_faces_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _labelled(spark, sf_dir, "leaders")
+    per_image = faces.faces_per_image(labelled.join(faces.named_clusters(labelled).select("label", "cluster_id"), "label"))
+    one = per_image.select("rel_path", F.posexplode("faces").alias("face_no", "f"))
+    box = {c: F.col("f.bbox")[k] for k, c in enumerate("xywh")}
+    return one.select("rel_path", F.col("face_no").cast("bigint").alias("face_no"), *[v.alias(k) for k, v in box.items()], "f.det_score", "f.cluster_id", "f.pose", F.col("f.primary").alias("is_primary"))
+
+
 # ---- selection -------------------------------------------------------------------------------
 REQUEST = ExportRequest(min_score=0.35, face_clusters=("face_1", "face_2"), face_poses=("frontal", "three_quarter"))
 _REASONS = """CASE WHEN score < 0.35 THEN 'below-score' WHEN NOT passed THEN reject_reason WHEN is_duplicate THEN 'similar-to:' || duplicate_of
@@ -294,6 +310,12 @@ def g3_pose_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.pose_distribution(_results(spark, sf_dir))
 
 
+@query(f"{_ALL} SELECT ord, row_number() OVER (ORDER BY similar_group, score DESC, ord) - 1 AS line FROM grouped")
+def g5_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir).select("ord", "similar_group", "score")
+    return with_row_number(rows, ["similar_group", F.col("score").desc(), "ord"], "line").select("ord", "line")
+
+
 @query(f"{_ALL} SELECT ord, similar_group, score FROM grouped ORDER BY ord LIMIT 20 OFFSET 30")
 def g6_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
@@ -345,3 +367,9 @@ def h4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h6_export_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = checkpointed(selection.decide(_results(spark, sf_dir), REQUEST, 0.4))
     return export.export_result(decided, _exported(decided))
+
+
+@query(f"{_ELIGIBLE} SELECT rel_path, rel_path AS exported_path, '/out/' || rel_path AS exported_abs_path FROM eligible")
+def h5_exported_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = selection.decide(_results(spark, sf_dir), REQUEST, 0.4)
+    return export.exported_maps(_exported(decided), "/out")
