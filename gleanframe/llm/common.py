@@ -44,20 +44,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the least node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., SOCC 2014). Every round is a
-    min-aggregate, which is combined before the shuffle, and an equi-join that AQE splits at hubs;
-    no neighbour list is ever gathered. Edges are written to the shared folder after each round.
+    min-aggregate, which is combined before the shuffle, and an equi-join; no neighbour list is ever
+    gathered. The minima are written before they are joined: both sides of the join then come
+    straight from exchanges, and AQE can split a hub's rows. So are the edges after each round.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, "cc")
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-min")
         large = (
             both.join(least.hint("merge"), "u").where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "cc-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         small = large.join(least.hint("merge"), "u")
         e = materialise(
             small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
