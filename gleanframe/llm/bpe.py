@@ -15,7 +15,8 @@ from array import array
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters whose classes, normal forms and lower cases don't depend on the Unicode version.
 ODD = re.compile("[^\\t-\\r -\\u012f\\u0131-\\u024f]|[\\x7f-\\xa0]")
-NO_WORDS = 400_000
+#: Words of a generation; a worker remembers two generations of words and of pieces.
+NO_WORDS = 150_000
 
 
 def _latin(test) -> str:
@@ -40,16 +41,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """Word to ids; starts anew when it holds NO_WORDS words, so a worker's memory is bounded."""
+class Memo(dict):
+    """Word to what `make` makes of it. Holds what was asked for lately: a full generation becomes the old one,
+    and what isn't asked for again goes with it, so a worker's memory is bounded."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = NO_WORDS):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
-        if len(self) >= NO_WORDS:
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.make(word)
+        self[word] = out
         return out
 
 
@@ -65,8 +71,8 @@ class BpeIds:
         self.pattern = WORD_PATTERN if lower else BYTE_PATTERN
         letters = byte_letters()
         self.table = [letters[b] for b in range(256)]
-        self.plain = _Memo(self._plain)
-        self.words = _Memo(self._word)
+        self.plain = Memo(self._plain)
+        self.words = Memo(self._word)
 
     def _plain(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize("".join([self.table[b] for b in word.encode()]))]).tobytes()
@@ -76,6 +82,11 @@ class BpeIds:
             return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join([self.plain[w] for w in self.pattern.findall(word.lower() if self.lower else word)])
 
+    def forget(self) -> None:
+        for memo in (self.words, self.plain):
+            memo.clear()
+            memo.old = {}
+
     def cut(self, text: str) -> list[str]:
         if not self.lower:
             return SEGMENT.findall(text)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_and_text, materialise
+from .common import connected_components, id_and_text, materialise, tidily
 
 #: Distinct fingerprints that the top of the trees is grown from. Every fingerprint is then placed and searched.
 TREE_SAMPLE = 4096
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(run, "doc_id bigint, fp bigint, text_key bigint")
+    return keyed.mapInArrow(tidily(run), "doc_id bigint, fp bigint, text_key bigint")
 
 
 class Tree:

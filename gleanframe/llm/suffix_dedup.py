@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import covered, found, mixed, runs, window_min, write_blocks
+from .common import tidy
 
 ANCHOR_BYTES = 200
 #: Bytes that are hashed at a time; longer texts are taken in overlapping pieces.
@@ -254,6 +255,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     mix = mixed(np.array([np.uint64(key) ^ core ^ np.uint64((s * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))]))[0]
                     add(int(mix), lot, a, b)
         rows = list(seen.items())
+        tidy()
         signed = np.array([k for (k, _), _ in rows], dtype=np.uint64).view(np.int64)
         return pa.table({
             "bucket": pa.array((mixed(signed.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)), "key": pa.array(signed), "context": pa.array([c for (_, c), _ in rows], pa.binary()),
@@ -302,6 +304,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sort_lot()
                     size = 0
         sort_lot()
+        tidy()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("block", "row", "start", "stop"), spans)})
 
     def remove(part: pa.Table, spans: pa.Table) -> pa.Table:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import id_and_text
+from .common import id_and_text, tidily
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chunks int, overlap int"
 
@@ -71,5 +71,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 [batch.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
                 ["doc_id", "n_bytes", "n_tokens", "n_chunks", "overlap"],
             )
+        tok.forget()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidily(run), SCHEMA)

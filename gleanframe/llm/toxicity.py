@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, tidily
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their ids.
 MAX_LABELLED = 20_000
@@ -66,7 +66,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
 
-    return docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(tidily(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
@@ -146,7 +146,7 @@ class Reader:
     def restored(self, token: str) -> list[str]:
         out = self.memo.get(token)
         if out is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 40_000:
                 self.memo.clear()
             out = self.memo[token] = [
                 w for split in (True, False)[: 1 + any(c in SEPARATORS for c in token)] for w in restore(token, self.model, split).split() if w.isalpha() and w != token
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         keys = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["mark", "toxic", "other"])
 
-    marks = rows.mapInArrow(count, "mark string, toxic bigint, other bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    marks = rows.mapInArrow(tidily(count), "mark string, toxic bigint, other bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # a mark that fewer than four documents have can't reach LEAST_EVIDENCE
     marks = marks.where("mark = '' or toxic >= 4").orderBy(F.col("mark") != "", F.col("toxic").desc(), "other", "mark").limit(20 * MAX_MARKS).collect()
     total = next((r for r in marks if r["mark"] == ""), None)
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             e = [model.evidence(reader.words(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x[0] for x in e], pa.float64()), pa.array([x[1] for x in e], pa.float64())], ["label", "total", "most"])
 
-    seen = rows.mapInArrow(read, "label int, total double, most double").select("label", F.round("total", 1).alias("total"), F.round("most", 1).alias("most")).groupBy("label", "total", "most").count().collect()
+    seen = rows.mapInArrow(tidily(read), "label int, total double, most double").select("label", F.round("total", 1).alias("total"), F.round("most", 1).alias("most")).groupBy("label", "total", "most").count().collect()
     x = np.array([[1.0, r["total"], r["most"]] for r in seen])
     y = np.array([float(r["label"] > 0) for r in seen])
     n = np.array([float(r["count"]) for r in seen])
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             scores = [model.score(model.evidence(reader.words(x))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidily(run), "doc_id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -315,4 +315,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
             keep = [model.score(model.evidence(reader.words(x or ""))) < threshold for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidily(run), docs.schema)
