@@ -42,8 +42,9 @@ class DigestIndex:
         """Add what the index has not seen; of equal new texts the largest id is kept."""
         new = digests.groupBy("sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         fresh = new.join(self.table().select("sha256").hint("merge"), "sha256", "left_anti")
+        # the join has dealt the rows as the table's buckets are, so each task writes one bucket
         (
-            fresh.repartition(self.buckets, "sha256").select("sha256", "keep_id", "group_size")
+            fresh.select("sha256", "keep_id", "group_size")
             .write.bucketBy(self.buckets, "sha256").sortBy("sha256").format("parquet")
             .option("path", self.path).mode("append").saveAsTable(self.name)
         )
