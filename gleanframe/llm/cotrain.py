@@ -57,7 +57,7 @@ def text_features(text: str) -> list[float]:
 
 
 def meta_features(values: list) -> np.ndarray:
-    """Slots of a metadata row: texts and their null by hash, numbers by their binary order of magnitude."""
+    """Counts in the slots of a metadata row: texts and their null by hash, numbers by their binary order of magnitude."""
     out = np.zeros(SLOTS)
     for k, v in enumerate(values):
         key = f"{k}=" + ("null" if v is None else v if isinstance(v, str) else f"2^{int(math.log2(1 + abs(v)))}")
@@ -170,17 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = ("lang"
         for batch in batches:
             get = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
             x, m = _views(get["_text"], [get[f"_m{k}"] for k in range(len(meta_cols))])
-            yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) if v >= 0 else -1 for v in get["_label"]], pa.int32()), pa.array(get["_id"], pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(m.tolist(), pa.list_(pa.float64()))], ["label", "id", "x", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) if v >= 0 else -1 for v in get["_label"]], pa.int32()), pa.array(get["_id"], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.astype("u1").tobytes() for v in m], pa.binary())], ["label", "id", "x", "m"])
 
     order = ["_id", "_label", "_text", *[f"_m{k}" for k in range(len(meta_cols))]]
-    seen = labelled.select(*order).unionByName(unlabelled.select(*order)).mapInArrow(run, "label int, id bigint, x array<double>, m array<double>").collect()
-    seen.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], r["x"]))
+    seen = labelled.select(*order).unionByName(unlabelled.select(*order)).mapInArrow(run, "label int, id bigint, x binary, m binary").collect()
+    seen.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], bytes(r["x"])))
     own, other = [r for r in seen if r["label"] >= 0], [r for r in seen if r["label"] < 0]
     y = np.array([float(r["label"]) for r in own])
     if len(set(y)) < 2:
         return float((y.sum() + 0.5) / (len(y) + 1))
     width = len(text_features(""))
-    arrays = [np.array([r[k] for r in part]).reshape(len(part), n) for part in (own, other) for k, n in (("x", width), ("m", SLOTS))]
+    arrays = [np.frombuffer(b"".join(bytes(r[k]) for r in part), kind).astype(np.float32).reshape(len(part), n) for part in (own, other) for k, n, kind in (("x", width, "f8"), ("m", SLOTS, "u1"))]
+    del seen, own, other
     return cotrain(arrays[0], arrays[1], y, arrays[2], arrays[3])
 
 
