@@ -23,12 +23,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .bpe import Memo
+from .common import id_and_text, tidily
 
 SPACE = "▁"  # fixed value: the sign for a space
 INF = float("inf")
-NO_WORDS = 300_000
-NO_PAIRS = 2_000_000
+#: Words of a generation, and pairs, that a worker remembers.
+NO_WORDS = 150_000
+NO_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in model files
 
 
@@ -97,8 +99,14 @@ class Transducers:
             node[""] = p
         # no piece has a space sign after another character, so paths of different words never meet
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(self._word, NO_WORDS)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.sides: tuple[dict, dict] = ({}, {})
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.old = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -122,13 +130,76 @@ class Transducers:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
+    def parts(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes this one; none for a character; itself twice if no merges make it."""
+        out = self.halves.get(piece, 0)
+        if out == 0:
+            parts, score = list(piece), self.score
+            out = None
+            while len(parts) > 1:
+                best, where = -INF, -1
+                for k in range(len(parts) - 1):
+                    s = score.get(parts[k] + parts[k + 1])
+                    if s is not None and s > best:
+                        best, where = s, k
+                if where < 0:
+                    out = (piece, piece)
+                    break
+                out = (parts[where], parts[where + 1])
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            self.halves[piece] = out
+        return out
+
+    def side(self, piece: str, which: int) -> list[tuple[str, float]] | None:
+        """What stands at one end of a piece while it is merged: (text, score of the merge that takes it in), from
+        the character on. None if the piece isn't made in falling order of scores."""
+        out = self.sides[which].get(piece, 0)
+        if out == 0:
+            out, taken, p = [], -INF, piece
+            while True:
+                out.append((p, taken))
+                halves = self.parts(p)
+                if halves is None:
+                    out.reverse()
+                    break
+                formed = self.score.get(p, -INF)
+                if halves[0] == p or any(len(h) > 1 and not self.score[h] > formed for h in halves):
+                    out = None
+                    break
+                taken, p = formed, halves[which]
+            self.sides[which][piece] = out
+        return out
+
+    def _compatible(self, a: str, b: str) -> bool:
+        """Follows the two ends that meet between a and b through their merges: the pieces stay apart unless, at some
+        moment, joining the ends comes before what would change either of them."""
+        left, right = self.side(a, 1), self.side(b, 0)
+        if left is not None and right is not None:
+            i = j = 0
+            while True:
+                (x, x_taken), (y, y_taken) = left[i], right[j]
+                s, next_ = self.score.get(x + y), x_taken if x_taken > y_taken else y_taken
+                if s is not None and s >= next_:
+                    if s > next_:
+                        return False
+                    break  # equal scores are decided by position
+                if next_ == -INF:
+                    return True
+                if x_taken == y_taken:
+                    break
+                if x_taken > y_taken:
+                    i += 1
+                else:
+                    j += 1
+        return self.merged(a + b) == [a, b]
+
     def may_follow(self, a: str, b: str) -> bool:
         """The acceptor's arc from a to b, made when first asked for."""
         out = self.pairs.get((a, b))
         if out is None:
             if len(self.pairs) >= NO_PAIRS:
                 self.pairs.clear()
-            out = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            out = self.pairs[a, b] = self._compatible(a, b)
         return out
 
     def arcs(self, text: str, at: int) -> list[str]:
@@ -141,32 +212,50 @@ class Transducers:
         return out
 
     def path(self, text: str) -> list[str]:
-        """The shortest path over text; states are (place, last piece), or places alone without an acceptor."""
+        """The shortest path over text."""
+        return self._accepted(text) if self.merges else self._cheapest(text)
+
+    def _accepted(self, text: str) -> list[str]:
+        """With the acceptor all finite weights are zero, so the first path that arrives is the shortest.
+
+        Only one accepted path leads to any place (what merging makes of the text up to there), so a
+        place that was left in vain isn't entered again. Longer arcs are tried first.
+        """
+        n, follow = len(text), self.may_follow
+        out: list[str] = []
+        dead = bytearray(n + 1)
+        choices = [self.arcs(text, 0)]
+        at = 0
+        while at < n:
+            options, last = choices[-1], out[-1] if out else ""
+            while options:
+                piece = options.pop()
+                to = at + len(piece)
+                if not dead[to] and (follow(last, piece) if last else self.parts(piece) != (piece, piece)):
+                    out.append(piece)
+                    at = to
+                    choices.append(self.arcs(text, at) if at < n else [])
+                    break
+            else:
+                dead[at] = 1
+                choices.pop()
+                at -= len(out.pop())
+        return out
+
+    def _cheapest(self, text: str) -> list[str]:
+        """Relaxes the arcs place by place: unigram weights depend on no neighbour."""
         n = len(text)
-        reached: list[dict[str, tuple[float, str | None]]] = [{} for _ in range(n + 1)]
-        reached[0][""] = (0.0, None)
+        best: list[tuple[float, str]] = [(0.0, "")] + [(INF, "")] * n
         for at in range(n):
-            here = reached[at]
-            if not here:
-                continue
-            if not self.merges:
-                least = min(here, key=lambda p: here[p][0])
-                here = {least: here[least]}
+            total = best[at][0]
             for piece in self.arcs(text, at):
-                there = reached[at + len(piece)]
-                cost = 0.0 if self.merges else -self.score.get(piece, -1e6)
-                for last, (total, _) in here.items():
-                    if self.merges and last and not self.may_follow(last, piece):
-                        continue  # an arc of infinite weight
-                    if piece not in there or total + cost < there[piece][0]:
-                        there[piece] = (total + cost, last)
-                        if self.merges:
-                            break  # all finite weights are zero: one way in is as good as another
+                cost = total - self.score.get(piece, -1e6)
+                if cost < best[at + len(piece)][0]:
+                    best[at + len(piece)] = (cost, piece)
         out, at = [], n
-        piece = min(reached[n], key=lambda p: reached[n][p][0])
         while at:
-            out.append(piece)
-            piece, at = reached[at][piece][1], at - len(piece)
+            out.append(best[at][1])
+            at -= len(best[at][1])
         return out[::-1]
 
     def _word(self, word: str) -> bytes:
@@ -186,16 +275,7 @@ class Transducers:
         if not text:
             return b""
         words = self.words
-        parts = _WORDS.findall(text) if self.by_word else [text]
-        out = []
-        for w in parts:
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= NO_WORDS:
-                    words.clear()
-                ids = words[w] = self._word(w)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([words[w] for w in (_WORDS.findall(text) if self.by_word else [text])])
 
     def decode(self, ids: bytes) -> str:
         """The inverse machine: pieces to characters, byte pieces to bytes, without the dummy prefix."""
@@ -269,5 +349,6 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([machines.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
+        machines.forget()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidily(run), "doc_id bigint, ids binary, decoded string")
