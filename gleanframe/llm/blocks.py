@@ -33,7 +33,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str,
     rest = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select(F.floor(F.col("row") / ROWS_PER_BLOCK).cast("bigint").alias("block"), "row", "doc_id", "text", "rest")
-    rows.write.bucketBy(buckets, "block").format("parquet").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    rows.write.bucketBy(buckets, "block").format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
 
