@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,6 +47,7 @@ SIGNS = re.compile("[" + re.escape("".join(LEET)) + re.escape("*.-_~/") + "]")
 #: Costs of the channel, in nats.
 KEEP_SIGN, SWAP, FILL, DROP, COLLAPSE, JOIN = 9.0, 0.7, 2.0, 1.0, 0.5, 0.2
 BEAM = 48
+#: Characters that are decoded at a time; longer tokens are decoded in overlapping pieces.
 LONGEST = 40
 
 CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
@@ -136,6 +138,29 @@ def restore(token: str, model: CharModel, split: bool = True) -> str:
     return min(((total + cost[a][b][0], text) for (a, b), (total, text) in states.items()))[1]
 
 
+def pieces(token: str, longest: int = LONGEST) -> list[str]:
+    """token, or overlapping pieces of it of at most `longest` characters.
+
+    Pieces begin and end at separators, or at every half of `longest` where there are none. What
+    lies between two such places and has at most half of `longest` is whole in one of the pieces.
+    """
+    if len(token) <= longest:
+        return [token]
+    cuts = [0]
+    for at in [k + 1 for k, c in enumerate(token) if c in SEPARATORS] + [len(token)]:
+        if at - cuts[-1] > longest:
+            cuts.extend(range(cuts[-1] + longest // 2, at, longest // 2))
+        if at > cuts[-1]:
+            cuts.append(at)
+    out, k = [], 0
+    while True:
+        end = bisect_right(cuts, cuts[k] + longest) - 1
+        out.append(token[cuts[k] : cuts[end]])
+        if cuts[end] == len(token):
+            return out
+        k = max(k + 1, bisect_right(cuts, cuts[k] + longest // 2) - 1)
+
+
 @dataclass
 class Reader:
     """Words of a text as they stand and as they are restored; remembers what it restored."""
@@ -164,11 +189,13 @@ class Reader:
                     odd.add(word)
                 elif not word.isascii() and any(c in LEET for c in word):
                     odd.add(word)
-            elif 2 < len(token) <= LONGEST and LETTER.search(token):
+            elif len(token) > 2 and LETTER.search(token):
                 # signs at the ends may be letters in disguise or mere decoration
                 for form in {word, token.strip(".,;:?\"'")}:
-                    if len(form) > 2 and SIGNS.search(form) and not THRICE.fullmatch(form):
-                        odd.add(form)
+                    bounded = {p for c in SEPARATORS if c in form for p in form.split(c)} if len(form) > LONGEST else ()
+                    for piece in (*pieces(form), *(p for p in bounded if len(p) <= LONGEST)):
+                        if len(piece) > 2 and LETTER.search(piece) and SIGNS.search(piece) and not THRICE.fullmatch(piece):
+                            odd.add(piece)
                 out.update(p for p in re.split(r"[\W\d_]+", word) if len(p) > 2)
         odd.update(m.group() for m in SPACED.finditer(low))
         for token in odd:

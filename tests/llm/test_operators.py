@@ -334,6 +334,20 @@ def test_disguises_are_restored(toxic):
     assert reader.words("A plain sentence, nothing more.") == {"a", "plain", "sentence", "nothing", "more"}
 
 
+def test_long_tokens_are_read(toxic):
+    reader = toxicity.Reader(toxicity.CharModel(toxic[2].counts))
+    assert {"pathetic", "worthless", "disgusting", "idiot"} <= reader.words("you_are_a_pathetic_worthless_disgusting_idiot")
+    assert {"pathetic", "idiot"} <= reader.words("see/you/are/a/p@thet1c/and/worthless/and/disgusting/1d10t/page.html")
+    assert "stupid" in reader.words("a_long_token_of_many_harmless_parts_s.t.u.p.i.d_and_more")
+    assert {"今日は良い天気です", "散歩に行きました"} <= reader.words("今日は良い天気です。" * 5 + "散歩に行きました。")
+    rng = random.Random(4)
+    for _ in range(300):
+        parts = [rng.choice("abc") * rng.randint(1, 20) for _ in range(rng.randint(1, 30))]
+        token = rng.choice("-/_").join(parts)
+        cut = toxicity.pieces(token)
+        assert max(map(len, cut)) <= toxicity.LONGEST and all(any(p in x for x in cut) for p in parts)
+
+
 def test_quality_held_out(spark, docs, rows, none):
     all_docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = cotrain.fit(all_docs, labels)
