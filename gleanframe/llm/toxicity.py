@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, tidily
+from .common import id_and_text, materialise, tidily
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their ids.
 MAX_LABELLED = 20_000
@@ -27,6 +27,8 @@ MAX_LABELLED = 20_000
 MAX_MARKS = 5_000
 #: Twice the log-likelihood ratio from which a word counts as evidence.
 LEAST_EVIDENCE = 24.0
+#: Words with doubled letters are usual, and left as they are, from this share of all such words on; fewer than 4,096 can be.
+USUAL = 1 / 4096
 PREFIXES = (4, 5, 6, 7, 8)
 #: Smallest odds that a mark gives, as a logarithm.
 LEAST_WEIGHT = 1.5
@@ -40,8 +42,11 @@ LEET = {
 SEPARATORS = " .-_*~,/\\'"
 TRIM = ".,;:?\"'()[]{}<>#%&*$!|~`^-_=+/\\…«»“”‘’¿¡"
 HIDDEN = re.compile("[­​-‏⁠﻿]")
+TWICE = re.compile(r"(.)\1")
 THRICE = re.compile(r"(.)\1\1")
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ .\-_*~,/]){2,}[^\s](?=[.,;:!?\"')]*(?:\s|$))")
+#: The same with any number of separators, tabs and line ends among them.
+WIDE = re.compile(r"(?<!\S)(?:\S[\s.\-_*~,/]++){2,}\S(?=[.,;:!?\"')]*(?:\s|$))")
 LETTER = re.compile(r"[^\W\d_]")
 SIGNS = re.compile("[" + re.escape("".join(LEET)) + re.escape("*.-_~/") + "]")
 #: Costs of the channel, in nats.
@@ -55,29 +60,49 @@ _CLASS = np.array([27 if chr(c).isalpha() else 0 for c in range(0x250)], np.int6
 _CLASS[97:123] = np.arange(1, 27)
 
 
-def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n): how often each three classes of characters follow one another, over all whole texts."""
+def char_counts(docs: DataFrame, text_col: str = "text") -> dict[int | str, int]:
+    """How often each three classes of characters follow one another, over all whole texts, and the usual words with doubled letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
+        doubled: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            seen = np.nonzero(total)[0]
+            codes, words = seen.tolist() + [None] * len(doubled), [None] * len(seen) + list(doubled)
+            out = pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(total[seen].tolist() + list(doubled.values()), pa.int64())], ["code", "word", "n"])
+            total[:] = 0
+            doubled.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                cps = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+                low = text.lower()
+                cps = np.frombuffer(f"  {low} ".encode("utf-32-le", "surrogatepass"), np.uint32)
                 c = np.where(cps < 0x250, _CLASS[np.minimum(cps, 0x24F)], 27)
                 total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
+                doubled.update([w for t in low.split() if TWICE.search(t) and (w := t.strip(TRIM)).isalpha() and TWICE.search(w) and not THRICE.search(w)])
+                if len(doubled) > 100_000:
+                    yield told()
+        yield told()
 
-    return docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(tidily(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    found = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(tidily(run), "code bigint, word string, n bigint")
+    found = materialise(found.groupBy("code", "word").agg(F.sum("n").alias("n")), "chars")
+    counts: dict[int | str, int] = {r["code"]: r["n"] for r in found.where("word is null").collect()}
+    words = found.where("word is not null")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return counts | {r["word"]: r["n"] for r in words.where(F.col("n") > total * USUAL).collect()}
 
 
 class CharModel:
-    """Costs (negative logarithms) of a class after two others, smoothed by shorter contexts."""
+    """Costs (negative logarithms) of a class after two others, smoothed by shorter contexts, and the usual words with doubled letters."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int | str, int]):
         tri = np.zeros(CLASSES**3)
+        self.usual = {code for code in counts if isinstance(code, str)}
         for code, n in counts.items():
-            tri[code] = n
+            if code not in self.usual:
+                tri[code] = n
         tri = tri.reshape(CLASSES, CLASSES, CLASSES)
         bi, uni = tri.sum(0), tri.sum((0, 1)) + 1
         p1 = uni / uni.sum()
@@ -122,9 +147,10 @@ def lattice(token: str, split: bool = True) -> list[list[tuple[str, float]]]:
 def restore(token: str, model: CharModel, split: bool = True) -> str:
     """The likeliest text behind token: Viterbi over its lattice, states are the last two classes."""
     cost = model.cost
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a text is kept as its last string and what was before, so that long tokens take linear time
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for arcs in lattice(token, split):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (total, text) in states.items():
             for string, price in arcs:
                 x, y, sum_ = a, b, total + price
@@ -133,9 +159,14 @@ def restore(token: str, model: CharModel, split: bool = True) -> str:
                     sum_ += cost[x][y][k]
                     x, y = y, k
                 if (x, y) not in after or sum_ < after[x, y][0]:
-                    after[x, y] = (sum_, text + string)
+                    after[x, y] = (sum_, (text, string))
         states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
-    return min(((total + cost[a][b][0], text) for (a, b), (total, text) in states.items()))[1]
+    text = min(((total + cost[a][b][0], text) for (a, b), (total, text) in states.items()), key=lambda s: s[0])[1]
+    parts = []
+    while text:
+        text, string = text
+        parts.append(string)
+    return "".join(reversed(parts))
 
 
 def pieces(token: str, longest: int = LONGEST) -> list[str]:
@@ -173,9 +204,9 @@ class Reader:
         if out is None:
             if len(self.memo) > 40_000:
                 self.memo.clear()
-            out = self.memo[token] = [
-                w for split in (True, False)[: 1 + any(c in SEPARATORS for c in token)] for w in restore(token, self.model, split).split() if w.isalpha() and w != token
-            ]
+            out = [w for split in (True, False)[: 1 + any(c in SEPARATORS for c in token)] for w in restore(token, self.model, split).split() if w.isalpha() and w != token]
+            if len(token) <= 4 * LONGEST:
+                self.memo[token] = out
         return out
 
     def words(self, text: str) -> set[str]:
@@ -185,7 +216,7 @@ class Reader:
             word = token.strip(TRIM)
             if word.isalpha():
                 out.add(word)
-                if THRICE.search(word):
+                if TWICE.search(word) and word not in self.model.usual:
                     odd.add(word)
                 elif not word.isascii() and any(c in LEET for c in word):
                     odd.add(word)
@@ -197,7 +228,7 @@ class Reader:
                         if len(piece) > 2 and LETTER.search(piece) and SIGNS.search(piece) and not THRICE.fullmatch(piece):
                             odd.add(piece)
                 out.update(p for p in re.split(r"[\W\d_]+", word) if len(p) > 2)
-        odd.update(m.group() for m in SPACED.finditer(low))
+        odd.update(" ".join(m.group().split()) for spaced in (SPACED, WIDE) for m in spaced.finditer(low))
         for token in odd:
             out.update(self.restored(token))
         return out
@@ -214,7 +245,7 @@ def features(words: set[str]) -> set[str]:
 class ToxicityModel:
     """(weight, trust) of the marks, and the logistic curve over a text's evidence."""
 
-    counts: dict[int, int]
+    counts: dict[int | str, int]
     marks: dict[str, tuple[float, float]]
     curve: tuple[float, float, float]
 
@@ -256,7 +287,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Character counts of all texts, marks and curve of at most max_labelled labelled ones that aren't held out."""
-    counts = {r[0]: r[1] for r in char_counts(docs, text_col).collect()}
+    counts = char_counts(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(known), id_col).select("label", "text")

@@ -348,6 +348,16 @@ def test_long_tokens_are_read(toxic):
         assert max(map(len, cut)) <= toxicity.LONGEST and all(any(p in x for x in cut) for p in parts)
 
 
+def test_doubled_letters_and_wide_gaps_are_restored(spark, toxic):
+    reader = toxicity.Reader(toxicity.CharModel(toxic[2].counts))
+    for shown, meant in (("stuupid", "stupid"), ("mooron", "moron"), ("iddiot", "idiot"), ("what an i  d  i  o  t.", "idiot"), ("s\tt\tu\tp\ti\td", "stupid"), ("m\no\nr\no\nn", "moron"), ("l .  o .  s .  e .  r", "loser")):
+        assert meant in reader.words(shown), (shown, reader.words(shown))
+    counts = toxicity.char_counts(spark.createDataFrame([("The letter, a Letter",), ("stuupid " + "letter " * 5000,), (None,)], "text string"))
+    assert {k: n for k, n in counts.items() if isinstance(k, str)} == {"letter": 5002}
+    assert toxicity.Reader(toxicity.CharModel(counts)).words("letter") == {"letter"}
+    assert all(0 < n for n in toxic[2].counts.values()) and sum(isinstance(k, str) for k in toxic[2].counts) < 4096
+
+
 def test_quality_held_out(spark, docs, rows, none):
     all_docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = cotrain.fit(all_docs, labels)
