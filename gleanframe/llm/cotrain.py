@@ -9,21 +9,28 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled and unlabelled documents that the classifiers learn from at most, chosen by a hash of their ids.
+from .common import materialise, tidily
+
+#: Labelled documents that the classifiers learn from at most, chosen by a hash of their ids. All unlabelled ones take part.
 MAX_LABELLED = 20_000
-MAX_UNLABELLED = 20_000
 ROUNDS = 5
 #: Share of the unlabelled pool that a view may label in a round, and how sure it must be.
 STEP_SHARE = 0.05
 SURE = 0.95
+#: Sureness is counted in steps of 1/64 nat, from SURE to the bound of a logit.
+FINE = 64
+LEAST_LOGIT = math.log(SURE / (1 - SURE))
+STEPS = int((30 - LEAST_LOGIT) * FINE) + 1
 PSEUDO_WEIGHT = 0.5
 SLOTS = 128
 
@@ -56,13 +63,15 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def meta_features(values: list) -> np.ndarray:
-    """Counts in the slots of a metadata row: texts and their null by hash, numbers by their binary order of magnitude."""
-    out = np.zeros(SLOTS)
-    for k, v in enumerate(values):
-        key = f"{k}=" + ("null" if v is None else v if isinstance(v, str) else f"2^{int(math.log2(1 + abs(v)))}")
-        out[zlib.crc32(key.encode()) % SLOTS] += 1
-    return out
+def meta_slots(values: list) -> list[int]:
+    """The slot of each value of a metadata row: texts and their null by hash, numbers by their binary order of magnitude."""
+    keys = (f"{k}=" + ("null" if v is None else v if isinstance(v, str) else f"2^{int(math.log2(1 + abs(v)))}") for k, v in enumerate(values))
+    return [zlib.crc32(key.encode()) % SLOTS for key in keys]
+
+
+def meta_features(slots: list[int] | np.ndarray) -> np.ndarray:
+    """Counts in the slots."""
+    return np.bincount(np.array(slots, np.int64), minlength=SLOTS).astype(float)
 
 
 @dataclass(frozen=True)
@@ -112,33 +121,184 @@ class QualityModel:
         return tuple(1 / (1 + np.exp(-v)) for v in (a, b, self.both.logit(np.stack((a, b), axis=1))))
 
 
-def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, ux: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-    """y: 0 or 1. A fifth of the labelled rows is kept for the calibration of both views and their sum."""
+class ArrayPool:
+    """Unlabelled rows in memory; tie (0 to 1) orders rows that are equally sure."""
+
+    def __init__(self, x: np.ndarray, m: np.ndarray, tie: np.ndarray | None = None):
+        self.rows = x, m, np.arange(len(m)), np.random.default_rng(7).permutation(len(x)) / max(1, len(x)) if tie is None else tie
+        self.size = len(x)
+
+    def total(self, measure: Callable[..., np.ndarray]) -> np.ndarray:
+        return measure(*self.rows)
+
+
+class TablePool:
+    """Unlabelled rows of a table (x, slots, tie). A pass adds up what its tasks measure; no row leaves the executors."""
+
+    #: Tasks that add up before the driver does.
+    ADDERS = 8
+
+    def __init__(self, rows: DataFrame, width: int):
+        self.rows, self.width, self.size = rows, width, rows.count()
+
+    def total(self, measure: Callable[..., np.ndarray]) -> np.ndarray:
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    x, slots = ([bytes(v) for v in batch.column(k).to_pylist()] for k in (0, 1))
+                    kinds = {v: k for k, v in enumerate(dict.fromkeys(slots))}
+                    m = np.array([meta_features(np.frombuffer(v, "u1")) for v in kinds])
+                    part = measure(np.frombuffer(b"".join(x), np.float32).reshape(-1, width).astype(float), m, np.array([kinds[v] for v in slots]), batch.column(2).to_numpy())
+                    out = part if out is None else out + part
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["task", "part"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # in the order of tasks, so that sums are the same in every run
+            parts = sorted((t, bytes(v)) for batch in batches for t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([parts[0][0]], pa.int32()), pa.array([sum(np.frombuffer(v) for _, v in parts).tobytes()], pa.binary())], ["task", "part"])
+
+        schema = "task int, part binary"
+        parts = self.rows.mapInArrow(tidily(run), schema).repartition(self.ADDERS).mapInArrow(add, schema).collect()
+        return sum(np.frombuffer(bytes(v)) for _, v in sorted((r["task"], r["part"]) for r in parts))
+
+
+#: The rows that a teacher labels 1 and 0 in a round: those above a step of sureness, and of that step those whose tie is below a share.
+Bounds = tuple[tuple[int, float], tuple[int, float]]
+Lesson = tuple[Logistic, Bounds]
+
+
+def _steps(logit: np.ndarray) -> np.ndarray:
+    """Steps of sureness, below zero where it is less than SURE."""
+    return np.floor((logit - LEAST_LOGIT) * FINE).astype(np.int64)
+
+
+def _told(lessons: list[tuple[Lesson, Lesson]], x: np.ndarray, m: np.ndarray, at: np.ndarray, tie: np.ndarray) -> list[np.ndarray]:
+    """What the text view and the metadata view have been told of each row by each other: 1, 0 or -1 for nothing. What is told first stays."""
+    out = [np.full(len(x), -1), np.full(len(x), -1)]
+    for by_text, by_meta in lessons:
+        for learner, (teacher, bounds), logit in ((1, by_text, by_text[0].logit(x)), (0, by_meta, by_meta[0].logit(m)[at])):
+            for label, (step, share), sure in ((1, bounds[0], _steps(logit)), (0, bounds[1], _steps(-logit))):
+                out[learner][(out[learner] < 0) & (sure >= 0) & ((sure > step) | ((sure == step) & (tie < share)))] = label
+    return out
+
+
+def _sureness(lessons, views: tuple[Logistic, Logistic], x, m, at, tie) -> np.ndarray:
+    """For each teacher and label, the rows at each step that its learner hasn't been told of."""
+    told, out = _told(lessons, x, m, at, tie), []
+    for learner, logit in ((1, views[0].logit(x)), (0, views[1].logit(m)[at])):
+        for sure in (_steps(logit), _steps(-logit)):
+            out.append(np.bincount(sure[(told[learner] < 0) & (sure >= 0)], minlength=STEPS))
+    return np.concatenate(out).astype(float)
+
+
+def _by_view(lessons, x, m, at, tie) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, labels, counts) of what each view has been told; equal metadata rows count together."""
+    told = _told(lessons, x, m, at, tie)
+    own = told[0] >= 0
+    counts = [np.bincount(at[told[1] == label], minlength=len(m)).astype(float) for label in (0, 1)]
+    labels = np.repeat((0.0, 1.0), len(m))
+    return [(x[own], told[0][own].astype(float), np.ones(own.sum())), (np.concatenate((m, m)), labels, np.concatenate(counts))]
+
+
+def _moments(lessons, x, m, at, tie) -> np.ndarray:
+    return np.concatenate([np.concatenate(([n.sum()], n @ v, n @ (v * v))) for v, _, n in _by_view(lessons, x, m, at, tie)])
+
+
+def _slope(view: Logistic, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The loss, its gradient and its second derivatives at a view's weights."""
+    x, y, n = x[n > 0], y[n > 0], n[n > 0]
+    z = np.concatenate((np.ones((len(x), 1)), np.clip((x - view.mean) / view.scale, -8, 8)), axis=1)
+    t = z @ view.weights
+    p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+    return np.concatenate(([(n * (np.logaddexp(0, t) - y * t)).sum()], z.T @ (n * (p - y)), ((z * (n * p * (1 - p))[:, None]).T @ z).ravel()))
+
+
+def _slopes(lessons, views: dict[int, Logistic], x, m, at, tie) -> np.ndarray:
+    rows = _by_view(lessons, x, m, at, tie)
+    return np.concatenate([_slope(view, *rows[k]) for k, view in views.items()])
+
+
+def _fit_views(base: list[np.ndarray], y: np.ndarray, pool, lessons, views: tuple[Logistic, Logistic], ridge: float = 1.0) -> tuple[Logistic, Logistic]:
+    """fit_logistic() of both views over the labelled rows and what the pool has been told; one pass over the pool a step."""
+    sums, ones, at = pool.total(partial(_moments, lessons)), np.ones(len(y)), 0
+    now: dict[int, Logistic] = {}
+    for k, x in enumerate(base):
+        d = x.shape[1]
+        n, first, second = sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + 2 * d]
+        at += 1 + 2 * d
+        mean = (x.sum(axis=0) + PSEUDO_WEIGHT * first) / (len(x) + PSEUDO_WEIGHT * n)
+        plain = (x.sum(axis=0) + first) / (len(x) + n)
+        scale = np.maximum(np.sqrt(np.maximum(((x * x).sum(axis=0) + second) / (len(x) + n) - plain**2, 0)), 1e-6)
+        # what the view knew, in the new units
+        old = views[k].weights
+        w = old[1:] * np.clip(scale / views[k].scale, 0, 10)
+        now[k] = Logistic(mean, scale, np.concatenate(([old[0] + (old[1:] * np.clip((mean - views[k].mean) / views[k].scale, -8, 8)).sum()], w)))
+    done: dict[int, Logistic] = {}
+    best: dict[int, tuple[float, np.ndarray]] = {}
+    steps: dict[int, np.ndarray] = {}
+    for _ in range(60):
+        seen, at = pool.total(partial(_slopes, lessons, now)), 0
+        for k in list(now):
+            d = base[k].shape[1] + 1
+            pull, w = np.full(d, ridge), now[k].weights
+            pull[0] = 1e-3
+            all_ = PSEUDO_WEIGHT * seen[at : at + 1 + d + d * d] + _slope(now[k], base[k], y, ones)
+            at += 1 + d + d * d
+            loss = all_[0] + (pull * w * w).sum() / 2
+            if k not in best or loss <= best[k][0] or abs(steps[k]).max() <= 1e-9:
+                best[k] = loss, w
+                steps[k] = np.linalg.solve(all_[1 + d :].reshape(d, d) + np.diag(pull), all_[1 : 1 + d] + pull * w)
+                # a step so small is taken without looking again
+                small = abs(steps[k]).max() < 1e-4
+            else:
+                steps[k], small = steps[k] / 2, False
+            now[k] = Logistic(now[k].mean, now[k].scale, best[k][1] - steps[k])
+            if small:
+                done[k] = now.pop(k)
+        if not now:
+            break
+    return tuple((done | now)[k] for k in (0, 1))
+
+
+def _bound(counts: np.ndarray, most: int) -> tuple[int, float]:
+    above = np.cumsum(counts[::-1])
+    k = int(np.searchsorted(above, most))
+    if k >= len(counts):
+        return 0, 1.0
+    step = len(counts) - 1 - k
+    return step, float((most - (above[k] - counts[step])) / max(1.0, counts[step]))
+
+
+def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, ux: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, tie: np.ndarray | None = None) -> QualityModel:
+    """Over unlabelled rows in memory; see cotrain_over."""
+    return cotrain_over(x, m, y, ArrayPool(ux, um, tie), rounds)
+
+
+def cotrain_over(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool: ArrayPool | TablePool, rounds: int = ROUNDS) -> QualityModel:
+    """y: 0 or 1. A fifth of the labelled rows is kept for the calibration of both views and their sum.
+
+    Each round scores the whole pool. What a view has been told follows from the teachers and bounds
+    of the rounds so far, so the pool is only read; passes bring home counts and sums of fixed size.
+    """
     kept = np.arange(len(y)) % 5 == 4
     if len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
         kept[:] = False
     base_x, base_m, base_y = x[~kept], m[~kept], y[~kept]
-    # what each view has been told by the other: row of the pool -> label
-    told: tuple[dict[int, float], dict[int, float]] = ({}, {})
-
-    def train(base, pool, extra):
-        rows = np.array(list(extra), int)
-        labels = np.array(list(extra.values()))
-        xs = np.concatenate((base, pool[rows])) if len(rows) else base
-        ys = np.concatenate((base_y, labels)) if len(rows) else base_y
-        return fit_logistic(xs, ys, np.concatenate((np.ones(len(base)), np.full(len(rows), PSEUDO_WEIGHT))))
-
-    text, meta = train(base_x, ux, {}), train(base_m, um, {})
-    for _ in range(rounds if len(ux) else 0):
-        for view, pool, other in ((text, ux, told[1]), (meta, um, told[0])):
-            p = 1 / (1 + np.exp(-view.logit(pool)))
-            share = base_y.mean()
-            for label, sure, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                most = int(STEP_SHARE * part * len(pool)) + 1
-                best = np.argsort(-sure, kind="stable")
-                for k in [k for k in best.tolist() if sure[k] >= SURE and k not in other][:most]:
-                    other[k] = label
-        text, meta = train(base_x, ux, told[0]), train(base_m, um, told[1])
+    ones = np.ones(len(base_y))
+    text, meta = fit_logistic(base_x, base_y, ones), fit_logistic(base_m, base_y, ones)
+    lessons: list[tuple[Lesson, Lesson]] = []
+    share = base_y.mean()
+    for _ in range(rounds if pool.size else 0):
+        counts = pool.total(partial(_sureness, lessons, (text, meta))).reshape(2, 2, STEPS)
+        most = [int(STEP_SHARE * part * pool.size) + 1 for part in (share, 1 - share)]
+        bounds = [tuple(_bound(counts[t, k], most[k]) for k in (0, 1)) for t in (0, 1)]
+        lessons = [*lessons, ((text, bounds[0]), (meta, bounds[1]))]
+        text, meta = _fit_views([base_x, base_m], base_y, pool, lessons, (text, meta))
     cx, cm, cy = (x[kept], m[kept], y[kept]) if kept.any() else (x, m, y)
     ones = np.ones(len(cy))
     a, b = text.logit(cx)[:, None], meta.logit(cm)[:, None]
@@ -148,7 +308,12 @@ def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, ux: np.ndarray, um: np.
 
 
 def _views(texts: list, metas: list[list]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([text_features(t or "") for t in texts]), np.array([meta_features(list(v)) for v in zip(*metas)] if metas else [meta_features([])] * len(texts))
+    return np.array([text_features(t or "") for t in texts]), np.array([meta_features(meta_slots(list(v))) for v in zip(*metas)] if metas else [meta_features([])] * len(texts))
+
+
+def tie(id_col: str) -> Column:
+    """A number from 0 to 1 that orders equally sure rows."""
+    return F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
 
 
 def held_out(id_col: str) -> Column:
@@ -156,33 +321,34 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | float:
-    """A model, or the prior where labels have one class only. What it learns from is bounded; see MAX_LABELLED."""
+    """A model, or the prior where labels have one class only. Labelled rows are bounded, see MAX_LABELLED; unlabelled ones are not.
+
+    Features are taken of each text once and joined with the labels without the text; only those
+    of the labelled rows go to the driver.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     usable = known.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
     columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(meta_cols)]]
-    rows = docs.select(*columns)
-    labelled = rows.join(F.broadcast(usable.select(F.col(id_col).alias("_id"), "_label")), "_id")
-    pool = docs.select(F.col(id_col).alias("_id")).where("_id is not null").join(known.select(F.col(id_col).alias("_id")), "_id", "left_anti")
-    pool = pool.orderBy(F.xxhash64("_id"), "_id").limit(MAX_UNLABELLED)
-    unlabelled = rows.join(F.broadcast(pool.distinct()), "_id").withColumn("_label", F.lit(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            x, m = _views(get["_text"], [get[f"_m{k}"] for k in range(len(meta_cols))])
-            yield pa.RecordBatch.from_arrays([pa.array([int(v > 0) if v >= 0 else -1 for v in get["_label"]], pa.int32()), pa.array(get["_id"], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.astype("u1").tobytes() for v in m], pa.binary())], ["label", "id", "x", "m"])
-
-    order = ["_id", "_label", "_text", *[f"_m{k}" for k in range(len(meta_cols))]]
-    seen = labelled.select(*order).unionByName(unlabelled.select(*order)).mapInArrow(run, "label int, id bigint, x binary, m binary").collect()
-    seen.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], bytes(r["x"])))
-    own, other = [r for r in seen if r["label"] >= 0], [r for r in seen if r["label"] < 0]
-    y = np.array([float(r["label"]) for r in own])
+            texts, *metas = (batch.column(k).to_pylist() for k in range(1, batch.num_columns))
+            x = [np.array(text_features(t or ""), np.float32).tobytes() for t in texts]
+            slots = [bytes(meta_slots(list(v))) for v in zip(*metas)] if metas else [b""] * len(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.binary()), pa.array(slots, pa.binary())], ["id", "x", "slots"])
+
+    features = docs.select(*columns).where("_id is not null").mapInArrow(tidily(run), "id bigint, x binary, slots binary")
+    labelled = known.select(F.col(id_col).cast("bigint").alias("id"), F.lit(True).alias("labelled"))
+    features = materialise(features.join(labelled, "id", "left"), "quality")
+    seen = features.where("labelled").join(F.broadcast(usable.select(F.col(id_col).cast("bigint").alias("id"), "_label")), "id").select("id", "x", "slots", "_label").collect()
+    seen.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["_label"], bytes(r["x"])))
+    y = np.array([float(r["_label"] > 0) for r in seen])
     if len(set(y)) < 2:
         return float((y.sum() + 0.5) / (len(y) + 1))
     width = len(text_features(""))
-    arrays = [np.frombuffer(b"".join(bytes(r[k]) for r in part), kind).astype(np.float32).reshape(len(part), n) for part in (own, other) for k, n, kind in (("x", width, "f8"), ("m", SLOTS, "u1"))]
-    del seen, own, other
-    return cotrain(arrays[0], arrays[1], y, arrays[2], arrays[3])
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in seen), np.float32).reshape(-1, width).astype(float)
+    m = np.array([meta_features(np.frombuffer(bytes(r["slots"]), "u1")) for r in seen])
+    return cotrain_over(x, m, y, TablePool(features.where("labelled is null").select("x", "slots", tie("id").alias("tie")), width))
 
 
 def score(docs: DataFrame, model: QualityModel | float, meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -368,6 +368,40 @@ def test_quality_held_out(spark, docs, rows, none):
     assert cotrain.score(docs, 0.9).first().score == 0.9
 
 
+def test_all_unlabelled_rows_take_part(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(24_000):
+        good = rng.random() < 0.5
+        rows.append((k, " ".join(rng.choice(["fine", "words", "here."] if good != (rng.random() < 0.1) else ["X$", "99", "!!"]) for _ in range(rng.randint(2, 9))), rng.choice("ab" if good else "bc"), int(good)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows[:400]], "doc_id long, quality int")
+    got = cotrain.fit(docs, labels, ("lang",))
+    own = [r[0] for r in labels.where(~cotrain.held_out("doc_id")).collect()]
+    own.sort(key=lambda i: (zlib.crc32(str(i).encode()), i))
+    ties = {r[0]: r[1] for r in docs.select("doc_id", cotrain.tie("doc_id")).collect()}
+    x, m = cotrain._views([r[1] for r in rows], [[r[2] for r in rows]])
+    x = x.astype(np.float32).astype(float)
+    want = cotrain.cotrain(x[own], m[own], np.array([float(rows[i][3]) for i in own]), x[400:], m[400:], tie=np.array([ties[r[0]] for r in rows[400:]]))
+    assert np.allclose(got.text.weights, want.text.weights, atol=1e-3) and np.allclose(got.meta.weights, want.meta.weights, atol=1e-3)
+    assert np.allclose(got.text.mean, want.text.mean) and np.allclose(got.both.weights, want.both.weights, atol=1e-3)
+
+
+def test_sums_over_the_pool_give_the_same_fit():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 900).astype(float)
+    x, m = y[:, None] + rng.normal(0, 0.6, (900, 3)), y[:, None] + rng.normal(0, 0.6, (900, 2))
+    text, meta = (cotrain.fit_logistic(v[:200], y[:200], np.ones(200)) for v in (x, m))
+    pool, bounds = cotrain.ArrayPool(x[200:], m[200:]), ((0, 1.0), (10, 0.5))
+    lessons = [((text, bounds), (meta, bounds))]
+    told = cotrain._told(lessons, *pool.rows)
+    for got, base, of in zip(cotrain._fit_views([x[:200], m[:200]], y[:200], pool, lessons, (text, meta)), (x, m), told):
+        add = of >= 0
+        assert 20 < add.sum() < 700
+        want = cotrain.fit_logistic(np.concatenate((base[:200], base[200:][add])), np.concatenate((y[:200], of[add])), np.repeat((1.0, cotrain.PSEUDO_WEIGHT), (200, add.sum())))
+        assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.scale, want.scale)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 2000).astype(float)
