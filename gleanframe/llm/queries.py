@@ -60,8 +60,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.dedup_spans(_documents(spark, sf_dir))
-    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    kept = suffix_dedup.dedup_spans(_documents(spark, sf_dir), seek=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,26 +164,34 @@ def test_rlz_dedup(docs, rows, none, monkeypatch):
     assert rlz_dedup.dedup_spans(none).count() == 0
 
 
-@pytest.mark.parametrize("lot, hot, window, anchor", [(1 << 20, 1024, 400, 200), (256, 0, 60, 20), (1 << 20, 0, 400, 200)])
-def test_suffix_dedup(docs, rows, none, lot, hot, window, anchor, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "LOT", lot)
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def repeated(rows, window):
+    """By document, flags of the bytes in strings of `window` bytes that start elsewhere too."""
+    data = [t.encode() for _, t in pairs(rows)]
     counts = {}
-    data = [(i, t.encode()) for i, t in pairs(rows)]
-    for _, b in data:
+    for b in data:
         for k in range(len(b) - window + 1):
             counts[b[k : k + window]] = counts.get(b[k : k + window], 0) + 1
-    want = []
-    for i, b in data:
+    out = []
+    for b in data:
         gone = bytearray(len(b))
         for k in range(len(b) - window + 1):
             if counts[b[k : k + window]] > 1:
                 gone[k : k + window] = b"\1" * window
+        out.append((b, gone))
+    return out
+
+
+@pytest.mark.parametrize("lot, hot, window, seek, anchor", [(1 << 20, 1024, 400, None, None), (256, 0, 60, 30, 12), (1 << 20, 0, 400, 200, 80), (1 << 20, 1024, 400, 200, None), (500, 0, 200, 200, 80), (300, 1024, 90, 12, 5), (1 << 20, 2, 90, 12, 5)])
+def test_suffix_dedup(docs, rows, none, lot, hot, window, seek, anchor, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LOT", lot)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    want = []
+    for (i, _), (b, gone), (_, short) in zip(pairs(rows), repeated(rows, window), repeated(rows, seek or window)):
         spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
-        want.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
-    got = suffix_dedup.dedup_spans(docs, window=window, anchor=anchor)
-    assert ordered((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got.collect()) == ordered(want)
-    assert suffix_dedup.dedup_spans(none).count() == 0
+        want.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g), sum(short)))
+    got = suffix_dedup.dedup_spans(docs, window=window, seek=seek, anchor=anchor)
+    assert ordered((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept), r.n_repeated if seek else sum(s.stop - s.start for s in r.spans)) for r in got.collect()) == ordered(want)
+    assert suffix_dedup.dedup_spans(none, seek=200).count() == 0
 
 
 def test_suffix_order_and_prefixes():
@@ -192,6 +200,9 @@ def test_suffix_order_and_prefixes():
         t = bytes(rng.choice(b"abc\0\xff"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 80)))
         order = suffix_dedup.suffix_order(t, 100)
         assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        own = np.array([rng.random() < 0.3 for _ in t], bool)
+        some = suffix_dedup.suffix_order(t, 100, own)
+        assert [i for i in some.tolist() if own[i]] == [i for i in order.tolist() if own[i]]
     t = b"abcabcabcx" * 3
     order = suffix_dedup.suffix_order(t, 100)
     common_ = suffix_dedup.common_prefixes(t, order, 9)
