@@ -46,9 +46,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes go; a character of which bytes went goes with them; n_chars follows."""
+    """Repeated strings of 200 bytes go, so that passages of over 50 words are found; a character of which bytes went goes with them; n_chars follows."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = suffix_dedup.dedup_spans(docs, carry=others)
+    kept = suffix_dedup.dedup_spans(docs, window=200, carry=others)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
     columns |= {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
     return kept.select(*[columns[c].alias(c) for c in docs.columns])
