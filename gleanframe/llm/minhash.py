@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
+#: Bytes of text that a range of ids holds, about.
+RANGE_BYTES = 32 << 20
 #: Hashed attempts to fill an empty bin before the exact choice among the bins that are not empty.
 ATTEMPTS = 6
 
@@ -116,13 +118,15 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", ranges:
 
     In a table without any id the last row has none: its next_ columns are null.
 
-    Rows are dealt into ranges of ids, whose bounds are ids that occur (quantiles of one combined
+    Rows are dealt into ranges of ids, as many as the texts' bytes ask for, whose bounds are ids that occur (quantiles of one combined
     aggregate). The first row of a range is also sent to the range before it, as its tail, so every
     row finds its follower inside one window and each row is shuffled once. No window is global.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not ranges:
+        size = docs.agg(F.sum(sum((F.octet_length(c) for c in cols if docs.schema[c].dataType.typeName() == "string"), F.lit(0)).cast("bigint"))).first()[0] or 0
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     share = [k / ranges for k in range(1, ranges)] + [1.0]
-    bounds = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)), 10_000).alias("b"), F.max(id_col).alias("top")).first()
+    bounds = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)), max(10_000, 8 * ranges)).alias("b"), F.max(id_col).alias("top")).first()
     known = sorted({*(bounds["b"] or []), *([bounds["top"]] if bounds["top"] is not None else [])})
     if not known:
         # no ids at all: one range, in the order of the digests

@@ -76,8 +76,11 @@ def test_exact_dedup(spark, docs, rows, none):
     # new data meets the index that is there
     again = DigestIndex(spark, index.path, 4, index.name)
     later = exact_dedup(spark.createDataFrame([(2_000_000, "one"), (2_000_001, "never seen")], "doc_id long, text string"), again).collect()
-    assert {(r.doc_id, r.keep_id, r.kept) for r in later} == {(2_000_000, 10**12, False), (2_000_001, 2_000_001, True)}
-    assert again.table().count() == len(groups) + 1
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in later} == {(2_000_000, 10**12, 3, False), (2_000_001, 2_000_001, 1, True)}
+    assert again.table().where("first").count() == len(groups) + 1
+    # a text that was rare in the index is hot in a batch
+    many = exact_dedup(spark.createDataFrame([(3_000_000 + k, "never seen") for k in range(2000)], "doc_id long, text string"), again)
+    assert many.where("group_size = 2001 and keep_id = 2000001 and not kept").count() == 2000
     assert exact_dedup(none, DigestIndex(spark, common.scratch_path(spark, "index"), 4)).count() == 0
 
 
@@ -302,6 +305,47 @@ def test_minhash(spark, docs, rows, none):
     assert lone.near_next == 0.0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of numbers as they are stored: each is hashed with the hash so far as the seed."""
+    out = 42
+    for v, size in values:
+        out = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), out)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def one_permutation(text, k=5, bits=7):
+    words = [w for w in re.split(GAPS, text) if w]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    hashes = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    if not hashes:
+        return "0" * (2 << bits)
+    low, bins = 64 - bits, {}
+    for a in range(max(1, len(hashes) - k + 1)):
+        h = spark_hash(*[(w, 8) for w in hashes[a : a + k]])
+        b, v = (h >> low) + (1 << bits - 1), h & (1 << low) - 1
+        bins[b] = min(v, bins.get(b, v))
+    out = []
+    for i in range(1 << bits):
+        tries = [(spark_hash((i, 4), (t, 4)) & (1 << 64) - 1) >> low for t in range(minhash.ATTEMPTS)]
+        at = next((j for j in [i, *tries] if j in bins), None)
+        if at is None:
+            at = min(bins, key=lambda j: (spark_hash((i, 4), (j, 4), (-1, 4)), j))
+        out.append(f"{bins[at] & 255:02x}")
+    return "".join(out)
+
+
+def test_bins_densification_and_packing(docs, rows):
+    got = ordered(tuple(r) for r in minhash.fingerprints(docs).collect())
+    assert got == ordered((i, one_permutation(t)) for i, t in pairs(rows))
+
+
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "RANGE_BYTES", 100)
+    docs = spark.createDataFrame([(k * 7, f"text {k} " * 9) for k in range(50)], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in minhash.with_next(docs, ["text"]).collect()}
+    assert got == {k * 7: f"text {(k - 1) % 50} " * 9 for k in range(50)}
+
+
 def test_sentencepiece(docs, rows, none):
     import sentencepiece
 
