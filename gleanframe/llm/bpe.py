@@ -67,6 +67,8 @@ class BpeIds:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        #: Characters at an end that a special string cut there may reach back.
+        self.guard = max((len(t.content) for t in self.whole.get_added_tokens_decoder().values()), default=0) + 1
         self.lower = lower
         self.pattern = WORD_PATTERN if lower else BYTE_PATTERN
         letters = byte_letters()
