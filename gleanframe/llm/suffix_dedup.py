@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +132,11 @@ def common_prefixes(text: bytes, order: np.ndarray, limit: int) -> np.ndarray:
     return np.minimum(out, limit)
 
 
-def repeated_starts(contexts: list[tuple[bytes, int]], seek: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each (context, number of starts): which of its first places start a string of `seek`, and which one of `window` bytes, that a second place starts."""
+Runs = list[tuple[int, int]]
+
+
+def repeated_starts(contexts: list[tuple[bytes, int]], seek: int, window: int) -> list[tuple[Runs, Runs]]:
+    """For each (context, number of starts): runs of its first places that start a string of `seek`, and of `window` bytes, that a second place starts."""
     text = b"".join(c for c, _ in contexts)
     own = np.zeros(len(text), bool)
     ends = np.zeros(len(text), np.int64)
@@ -155,8 +159,12 @@ def repeated_starts(contexts: list[tuple[bytes, int]], seek: int, window: int) -
             near = np.minimum.reduceat(same[: whole[-1] + 1], whole[:-1] + 1) >= length
             flags[order[whole[1:][near]]] = True
             flags[order[whole[:-1][near]]] = True
-        out.append(flags)
-    return [(out[0][o : o + s], out[1][o : o + s]) for o, (_, s) in zip(offsets, contexts)]
+        # runs don't reach into the next context, as a context ends with less than a whole string
+        a, b = runs(flags)
+        at = np.searchsorted(a, offsets).tolist() + [len(a)]
+        a, b = a.tolist(), b.tolist()
+        out.append([[(x - o, y - o) for x, y in zip(a[i:j], b[i:j])] if i < j else [] for o, i, j in zip(offsets, at, at[1:])])
+    return list(zip(*out))
 
 
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _B)
@@ -218,6 +226,22 @@ def _lots(table: pa.Table, seek: int, window: int, anchor: int) -> Iterator[_Lot
         yield _Lot(held, seek, window, anchor)
 
 
+def _places(spans: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop, long) of each repeat: every run of a context at every place of it."""
+    if not len(spans):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(bool)
+    flat = [np.concatenate([c.flatten().to_numpy() for c in spans.column(n).chunks]) for n in ("rows", "places", "starts", "stops")]
+    n, m = (pc.list_value_length(spans.column(c)).to_numpy() for c in ("rows", "starts"))
+    # place k of a context meets its m runs
+    owner = np.repeat(np.arange(len(n)), n)
+    many = m[owner]
+    place = np.repeat(np.arange(len(owner)), many)
+    run = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(m) - m)[owner], many)
+    long = spans.column("long").to_numpy(zero_copy_only=False).astype(bool)
+    return flat[0][place], flat[1][place] + flat[2][run], flat[1][place] + flat[3][run], long[owner][place]
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, seek: int | None = None, anchor: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its kept bytes, the spans of bytes that went, and n_repeated, the bytes in
     repeats of `seek` bytes (of `window` where it isn't given); rest has the columns to carry.
@@ -306,20 +330,17 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         starts = group.column("starts").to_pylist()
         for k, (key, deep, context) in enumerate(zip(group.column("key").to_pylist(), group.column("deep").to_pylist(), group.column("context").to_pylist())):
             merged.setdefault((key, deep), {}).setdefault((context, starts[k]), []).append(k)
-        blocks, rows, places = (group.column(c).to_pylist() for c in ("block", "rows", "places"))
-        spans: tuple[list, list, list, list, list] = ([], [], [], [], [])
-
-        def tell(members: list[int], deep: int, flags: tuple[np.ndarray, np.ndarray]) -> None:
-            kinds = [(seek, flags[0], False)] * (deep != LONG and seek < window) + [(window, flags[1], True)] * (deep != SHORT)
-            for length, own, long in kinds:
-                a, b = runs(own)
-                for k in members:
-                    for row, place in zip(rows[k], places[k]):
-                        spans[0].extend([blocks[k]] * len(a))
-                        spans[1].extend([row] * len(a))
-                        spans[2].extend((place + a).tolist())
-                        spans[3].extend((place + b - 1 + length).tolist())
-                        spans[4].extend([long] * len(a))
+        sizes_ = pc.list_value_length(group.column("rows")).to_pylist()
+        # context rows with repeats, and the first and one past the last byte of each, counted from the context
+        told: tuple[list, list, list, list] = ([], [], [], [])
+
+        def tell(members: list[int], deep: int, short: Runs, long: Runs) -> None:
+            for length, found_, is_long in ((seek, short if deep != LONG and seek < window else [], False), (window, long if deep != SHORT else [], True)):
+                if found_:
+                    a, b = [x for x, _ in found_], [y - 1 + length for _, y in found_]
+                    told[0].extend(members)
+                    for out, value in zip(told[1:], (a, b, is_long)):
+                        out.extend([value] * len(members))
 
         # a place is in a slice of either kind, so the kinds are sorted apart
         lots: dict[int, list[tuple[list[int], bytes, int]]] = {}
@@ -328,15 +349,16 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def sort_lot(deep: int) -> None:
             lot = lots.pop(deep, [])
             sizes[deep] = 0
-            for (members, _, _), flags in zip(lot, repeated_starts([(c, n) for _, c, n in lot], seek, window) if lot else ()):
-                tell(members, deep, flags)
+            for (members, _, _), found_ in zip(lot, repeated_starts([(c, n) for _, c, n in lot], seek, window) if lot else ()):
+                if members:
+                    tell(members, deep, *found_)
 
         for (_, deep), contexts in merged.items():
             single = []
             for (context, n), members in contexts.items():
-                if sum(len(rows[k]) for k in members) > 1:
-                    ones = np.ones(n, bool)
-                    tell(members, deep, (ones, np.arange(n) + window <= len(context)))
+                if len(members) > 1 or sizes_[members[0]] > 1:
+                    whole = min(n, len(context) - window + 1)
+                    tell(members, deep, [(0, n)], [(0, whole)] * (whole > 0))
                     members = []
                 single.append((members, context, n))
             if len(single) > 1 and any(m for m, _, _ in single):
@@ -347,24 +369,26 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for deep in list(lots):
             sort_lot(deep)
         tidy()
-        return pa.table({n: pa.array(v, pa.bool_() if n == "long" else pa.int64()) for n, v in zip(("block", "row", "start", "stop", "long"), spans)})
+        at = pa.array(told[0], pa.int64())
+        return pa.table({
+            **{c: group.column(c).take(at) for c in ("block", "rows", "places")},
+            "starts": pa.array(told[1], pa.list_(pa.int64())), "stops": pa.array(told[2], pa.list_(pa.int64())), "long": pa.array(told[3], pa.bool_()),
+        })
 
     def remove(part: pa.Table, spans: pa.Table) -> pa.Table:
-        at: dict[int, list[int]] = {}
-        for k, row in enumerate(spans.column("row").to_pylist()):
-            at.setdefault(row, []).append(k)
-        start, stop = (spans.column(c).to_numpy() if len(spans) else np.zeros(0, np.int64) for c in ("start", "stop"))
-        long = spans.column("long").to_numpy(zero_copy_only=False).astype(bool) if len(spans) else np.zeros(0, bool)
+        row, start, stop, long = _places(spans)
+        by = np.argsort(row, kind="stable")
+        row, start, stop, long = row[by], start[by], stop[by], long[by]
         out: dict[str, list] = {"kept": [], "n_bytes": [], "n_removed": [], "spans": [], "n_repeated": []}
-        for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
+        for own_row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             a = b = ()
             n_repeated = 0
-            if own := at.get(row):
-                own = np.array(own)
-                n_repeated = int(covered(start[own], stop[own], len(data)).sum())
-                own = own[long[own]]
-                a, b = (x.tolist() for x in runs(covered(start[own], stop[own], len(data))))
+            first, last = np.searchsorted(row, own_row), np.searchsorted(row, own_row, "right")
+            if first < last:
+                n_repeated = int(covered(start[first:last], stop[first:last], len(data)).sum())
+                deep = long[first:last]
+                a, b = (x.tolist() for x in runs(covered(start[first:last][deep], stop[first:last][deep], len(data))))
             kept = b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)])) if a else data
             out["kept"].append(kept)
             out["n_bytes"].append(len(data))
@@ -376,5 +400,5 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"doc_id": part.column("doc_id"), "kept_text": pa.array(texts, pa.string()), "rest": part.column("rest"), "kept": pa.array(out["kept"], pa.binary()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "spans": pa.array(out["spans"], spans_type), "n_repeated": pa.array(out["n_repeated"], pa.int64())})
 
     contexts = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts_of, CONTEXT)
-    spans = contexts.groupBy("bucket").applyInArrow(repeats_of, "block bigint, row bigint, start bigint, stop bigint, long boolean")
+    spans = contexts.groupBy("bucket").applyInArrow(repeats_of, "block bigint, rows array<bigint>, places array<bigint>, starts array<bigint>, stops array<bigint>, long boolean")
     return table.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, f"doc_id bigint, kept_text string, rest {table.schema['rest'].dataType.simpleString()}, {RESULT}")
