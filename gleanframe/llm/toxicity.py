@@ -1,8 +1,11 @@
 """Toxicity: disguised words are restored by a noisy-channel decoder, then the restored text is scored.
 
 Null texts count as empty; an empty text has a score like any other (that of no evidence). A null
-id is never learnt from. Without a labelled toxic row every score is the prior. Labels, languages,
-sources and ids are never inputs of a score.
+id is never learnt from. Without a labelled toxic row every score is the prior; an empty table gives
+an empty result. Very long texts are read whole, tokens of over LONGEST characters in overlapping
+pieces. Equal texts have equal scores, repeated rows are scored each; of readings that cost the same
+the first one offered is taken. Labels, languages, sources, ids and any further columns are never
+inputs of a score.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from .common import id_and_text, materialise, tidily
 
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their ids.
 MAX_LABELLED = 20_000
-#: Marks (words and beginnings of words) kept at most, by strength of evidence.
-MAX_MARKS = 5_000
 #: Twice the log-likelihood ratio from which a word counts as evidence.
 LEAST_EVIDENCE = 24.0
 #: Words with doubled letters are usual, and left as they are, from this share of all such words on; fewer than 4,096 can be.
@@ -51,7 +52,6 @@ LETTER = re.compile(r"[^\W\d_]")
 SIGNS = re.compile("[" + re.escape("".join(LEET)) + re.escape("*.-_~/") + "]")
 #: Costs of the channel, in nats.
 KEEP_SIGN, SWAP, FILL, DROP, COLLAPSE, JOIN = 9.0, 0.7, 2.0, 1.0, 0.5, 0.2
-BEAM = 48
 #: Characters that are decoded at a time; longer tokens are decoded in overlapping pieces.
 LONGEST = 40
 
@@ -116,7 +116,7 @@ def _class(c: str) -> int:
 
 
 def lattice(token: str, split: bool = True) -> list[list[tuple[str, float]]]:
-    """For each run of one character the strings it can stand for, with their costs in the channel.
+    """For each run of one character, and for each star, the strings it can stand for, with their costs in the channel.
 
     split: a separator may also stand for the end of a word.
     """
@@ -124,7 +124,7 @@ def lattice(token: str, split: bool = True) -> list[list[tuple[str, float]]]:
     while at < len(token):
         c = token[at]
         n = 1
-        while at + n < len(token) and token[at + n] == c:
+        while c != "*" and at + n < len(token) and token[at + n] == c:
             n += 1
         inner = 0 < at and at + n < len(token)
         if c.isalpha() and c not in LEET:
@@ -137,15 +137,15 @@ def lattice(token: str, split: bool = True) -> list[list[tuple[str, float]]]:
                 arcs += [(letter, SWAP)] + ([(letter * 2, SWAP + COLLAPSE)] if n > 1 else [])
             if c in SEPARATORS and inner:
                 arcs += [("", JOIN), (" ", DROP)] if split else [("", JOIN)]
-            if c == "*" and inner:
-                arcs += [(chr(97 + k) * n, FILL * n) for k in range(26)]
+            if c == "*":
+                arcs += [(chr(97 + k), FILL) for k in range(26)]
         out.append(arcs)
         at += n
     return out
 
 
 def restore(token: str, model: CharModel, split: bool = True) -> str:
-    """The likeliest text behind token: Viterbi over its lattice, states are the last two classes."""
+    """The likeliest text behind token: Viterbi over its lattice, states are the last two classes, all of which are kept."""
     cost = model.cost
     # a text is kept as its last string and what was before, so that long tokens take linear time
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
@@ -160,7 +160,7 @@ def restore(token: str, model: CharModel, split: bool = True) -> str:
                     x, y = y, k
                 if (x, y) not in after or sum_ < after[x, y][0]:
                     after[x, y] = (sum_, (text, string))
-        states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
+        states = after
     text = min(((total + cost[a][b][0], text) for (a, b), (total, text) in states.items()), key=lambda s: s[0])[1]
     parts = []
     while text:
@@ -269,18 +269,26 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _evidence(t: np.ndarray, c: np.ndarray, n_t: float, n_c: float) -> np.ndarray:
+def _evidence(t: Column, c: Column, n_t: float, n_c: float) -> Column:
     """Twice the log-likelihood ratio of a mark's counts in toxic and other documents against equal rates."""
-    rate = (t + c) / (n_t + n_c)
 
-    def part(k, n):
-        p = np.clip(k / n, 1e-12, 1 - 1e-12)
-        r = np.clip(rate, 1e-12, 1 - 1e-12)
-        return k * np.log(p / r) + (n - k) * np.log((1 - p) / (1 - r))
+    def within(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12))
+
+    rate = within((t + c) / F.lit(n_t + n_c))
+
+    def part(k: Column, n: float) -> Column:
+        p = within(k / F.lit(n))
+        return k * F.ln(p / rate) + (F.lit(n) - k) * F.ln((1 - p) / (1 - rate))
 
     return 2 * (part(t, n_t) + part(c, n_c))
 
 
+def _weight(t: Column, c: Column, n_t: float, n_c: float) -> Column:
+    """How much likelier a mark is in toxic documents than in others, as a logarithm."""
+    return F.ln((t + 0.5) / F.lit(n_t + 1)) - F.ln((c + 0.5) / F.lit(n_c + 1))
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
@@ -303,24 +311,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         keys = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["mark", "toxic", "other"])
 
-    marks = rows.mapInArrow(tidily(count), "mark string, toxic bigint, other bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # a mark that fewer than four documents have can't reach LEAST_EVIDENCE
-    marks = marks.where("mark = '' or toxic >= 4").orderBy(F.col("mark") != "", F.col("toxic").desc(), "other", "mark").limit(20 * MAX_MARKS).collect()
-    total = next((r for r in marks if r["mark"] == ""), None)
+    counted = rows.mapInArrow(tidily(count), "mark string, toxic bigint, other bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = materialise(counted, "marks")
+    total = counted.where("mark = ''").first()
     n_t, n_c = (float(total["toxic"]), float(total["other"])) if total else (0.0, 0.0)
-    marks = [r for r in marks if r["mark"]]
     prior = math.log((n_t + 0.5) / (n_c + 0.5))
-    if not marks or not n_t or not n_c:
+    # all marks of enough evidence; their number is bounded by the labelled rows'
+    strong = (_evidence(F.col("toxic"), F.col("other"), n_t, n_c) >= LEAST_EVIDENCE) & (_weight(F.col("toxic"), F.col("other"), n_t, n_c) >= LEAST_WEIGHT)
+    marks = counted.where("mark <> '' and toxic > 0").where(strong).orderBy("mark").collect() if n_t and n_c else []
+    if not marks:
         return ToxicityModel(counts, {}, (prior, 0.0, 0.0))
     t, c = np.array([r["toxic"] for r in marks], float), np.array([r["other"] for r in marks], float)
-    strength = _evidence(t, c, n_t, n_c)
     weight = np.log((t + 0.5) / (n_t + 1)) - np.log((c + 0.5) / (n_c + 1))
     # the odds at the lower end of Wilson's interval for the share of toxic documents among those with the mark
     n, share = t + c, t / (t + c)
     low = (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
     trust = np.maximum(0.0, np.log(np.maximum(low, 1e-6) / (1 - low)))
-    best = [k for k in np.argsort(-strength, kind="stable") if strength[k] >= LEAST_EVIDENCE and weight[k] >= LEAST_WEIGHT][:MAX_MARKS]
-    model = ToxicityModel(counts, {marks[k]["mark"]: (float(weight[k]), float(trust[k])) for k in best}, (prior, 0.0, 0.0))
+    model = ToxicityModel(counts, {r["mark"]: (float(weight[k]), float(trust[k])) for k, r in enumerate(marks)}, (prior, 0.0, 0.0))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(CharModel(counts))
