@@ -1,7 +1,13 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
-Null texts count as empty and null metadata as a value of its own; an empty table gives an empty
-result. A null id is never learnt from. With labels of one class only, scores are the prior.
+The text view has shares and ratios of a text's characters, words and lines but not its length,
+which is metadata (n_chars); so the views have no input in common.
+
+Null texts count as empty; null metadata, columns that aren't there and numbers that aren't finite
+are values of their own; an empty table gives an empty result. A null id is never learnt from. With
+labels of one class only, scores are the prior. Very long texts are read whole, one at a time.
+Repeated rows are scored each and alike; of equally sure rows a hash of the id decides which are
+taught first. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -59,13 +65,20 @@ def text_features(text: str) -> list[float]:
         *shares, float((same & (kinds[1:] >= 6)).sum()) / n, float((same & (kinds[1:] < 4)).sum()) / n, stutter,
         len(counts) / w, max(counts.values(), default=0) / w, min(1.0, sum(map(len, words)) / w / 20), len(set(lines)) / ln, max(Counter(lines).values(), default=0) / ln,
         sum(x.isalpha() for x in counts) / max(1, len(counts)), sum(x.isupper() and len(x) > 1 for x in counts) / max(1, len(counts)),
-        sum(x.rstrip()[-1] in ".!?" for x in lines) / ln, math.log1p(w) / 12, math.log1p(w) ** 2 / 144, math.log1p(w / ln) / 12, float(not words),
+        sum(x.rstrip()[-1] in ".!?" for x in lines) / ln, math.log1p(w / ln) / 12, float(not words),
     ]
 
 
 def meta_slots(values: list) -> list[int]:
     """The slot of each value of a metadata row: texts and their null by hash, numbers by their binary order of magnitude."""
-    keys = (f"{k}=" + ("null" if v is None else v if isinstance(v, str) else f"2^{int(math.log2(1 + abs(v)))}") for k, v in enumerate(values))
+
+    def sign(v) -> str:
+        if v is None or isinstance(v, str):
+            return "null" if v is None else v
+        v = float(v)
+        return f"2^{int(math.log2(1 + abs(v)))}" if math.isfinite(v) else str(v)
+
+    keys = (f"{k}={sign(v)}" for k, v in enumerate(values))
     return [zlib.crc32(key.encode()) % SLOTS for key in keys]
 
 
@@ -311,6 +324,10 @@ def _views(texts: list, metas: list[list]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([text_features(t or "") for t in texts]), np.array([meta_features(meta_slots(list(v))) for v in zip(*metas)] if metas else [meta_features([])] * len(texts))
 
 
+def _metadata(docs: DataFrame, meta_cols: tuple[str, ...]) -> list[Column]:
+    return [(F.col(c) if c in docs.columns else F.lit(None).cast("string")).alias(f"_m{k}") for k, c in enumerate(meta_cols)]
+
+
 def tie(id_col: str) -> Column:
     """A number from 0 to 1 that orders equally sure rows."""
     return F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
@@ -320,15 +337,15 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | float:
-    """A model, or the prior where labels have one class only. Labelled rows are bounded, see MAX_LABELLED; unlabelled ones are not.
+def fit(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> QualityModel | float:
+    """A model, or the prior where labels have one class only. At most max_labelled labelled rows are learnt from, chosen by a hash of their ids; unlabelled ones are not bounded.
 
     Features are taken of each text once and joined with the labels without the text; only those
     of the labelled rows go to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    usable = known.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
-    columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(meta_cols)]]
+    usable = known.where(~held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
+    columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *_metadata(docs, meta_cols)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,5 +382,5 @@ def score(docs: DataFrame, model: QualityModel | float, meta_cols: tuple[str, ..
                 out = model.scores(*_views(columns[0], columns[1:]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(v, pa.float64()) for v in out)], ["doc_id", "text_score", "meta_score", "score"])
 
-    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(meta_cols)]]
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *_metadata(docs, meta_cols)]
     return docs.select(*columns).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double")

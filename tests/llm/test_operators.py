@@ -411,6 +411,39 @@ def test_disguises_are_restored(toxic):
     assert reader.words("A plain sentence, nothing more.") == {"a", "plain", "sentence", "nothing", "more"}
 
 
+def decodings(token, model, split):
+    """Every reading of a token with its whole cost."""
+    found = [(0.0, (0, 0), "")]
+    for arcs in toxicity.lattice(token, split):
+        new = []
+        for total, (a, b), text in found:
+            for string, price in arcs:
+                x, y, cost = a, b, total + price
+                for c in string:
+                    k = toxicity._class(c)
+                    cost += model.cost[x][y][k]
+                    x, y = y, k
+                new.append((cost, (x, y), text + string))
+        found = new
+    return [(total + model.cost[a][b][0], text) for total, (a, b), text in found]
+
+
+def test_the_likeliest_reading_is_found(toxic):
+    model, rng = toxicity.CharModel(toxic[2].counts), random.Random(5)
+    tokens = ["id**t", "idio*", "*diot", "m0r*n", "st*p1d", "a-b-c", "l0**r"] + ["".join(rng.choice("abeist01@$!*.-lloo") for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    for token in tokens:
+        if token.count("*") > 2:
+            continue
+        for split in (True, False):
+            every = decodings(token, model, split)
+            least = min(cost for cost, _ in every)
+            assert toxicity.restore(token, model, split) in {text for cost, text in every if cost < least + 1e-9}, token
+    for token, meant in (("id**t", "idiot"), ("idio*", "idiot"), ("*diot", "idiot")):
+        assert meant in {text for _, text in decodings(token, model, False)}
+    for token, meant in (("stup*d", "stupid"), ("st*pid", "stupid"), ("l*ser", "loser"), ("stupi*", "stupid")):
+        assert toxicity.restore(token, model, False) == meant
+
+
 def test_long_tokens_are_read(toxic):
     reader = toxicity.Reader(toxicity.CharModel(toxic[2].counts))
     assert {"pathetic", "worthless", "disgusting", "idiot"} <= reader.words("you_are_a_pathetic_worthless_disgusting_idiot")
@@ -443,6 +476,8 @@ def test_quality_held_out(spark, docs, rows, none):
     assert cotrain.score(docs, model).count() == len(rows) and cotrain.score(none, model).count() == 0
     assert cotrain.fit(all_docs, labels.where("quality = 1")) > 0.9
     assert cotrain.score(docs, 0.9).first().score == 0.9
+    odd = spark.createDataFrame([(1, "a text", float("nan")), (2, None, float("inf")), (3, "x" * 2_000_000, None)], "doc_id long, text string, n_chars double")
+    assert all(0 <= r.score <= 1 for r in cotrain.score(odd, model).collect()) and cotrain.fit(odd, labels.limit(0)) == 0.5
 
 
 def test_all_unlabelled_rows_take_part(spark):
