@@ -1,8 +1,10 @@
 """SimHash near-dedup: 64-bit fingerprints joined within a Hamming distance by vantage-point trees.
 
 A null text counts as empty; a text without words has fingerprint zero and is linked like any
-other. Texts of fewer words than a shingle are one shingle. Rows with equal ids or texts are rows
-like any others. An empty table gives an empty result. Only the id and the text are read.
+other. Texts of fewer words than a shingle are one shingle; of very long ones the shingles are hashed
+one after the other and summed in lots. A bit that exactly half the shingles set is 0. Rows with
+equal ids or texts are rows like any others; a null id is never a component's least. An empty table
+gives an empty result. Only the id and the text are read, so clashing names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, id_and_text, materialise, tidily
 
-#: Distinct fingerprints that the top of the trees is grown from. Every fingerprint is then placed and searched.
-TREE_SAMPLE = 4096
-#: Cells that the top of each tree deals fingerprints into, at least.
-CELLS = 64
+#: Cells that the top of a tree deals fingerprints into: at least so many, one for each CELL_ROWS (or fewer, see
+#: links) fingerprints, and at most so many, which bounds the trees that are sent to every task.
+CELLS, MOST_CELLS = 64, 16_384
+#: Distinct fingerprints for each cell that the tops of the trees are grown from. Every fingerprint is then placed and searched.
+SAMPLE_PER_CELL = 64
 #: Rows of a cell that one task holds at a time; larger cells are cut into blocks of members times blocks of queries.
 CELL_ROWS = 40_000
+MEMBER, QUERY, EITHER = 0, 1, 2
 #: Pairs that are compared outright instead of splitting a node further.
 LEAF_PAIRS = 1 << 21
 
@@ -64,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Tree:
-    """The top of a vantage-point tree over one half of the bits.
+    """The top of a vantage-point tree over some of the bits.
 
     A node deals values into shells of equal Hamming distance from its vantage point. Two values
     within r of each other have distances that differ by r at most (the triangle inequality), so a
@@ -160,50 +164,85 @@ def join_cell(members: np.ndarray, queries: np.ndarray, mask: np.uint64, radius:
             stack.append((m[dm == shell], q[np.abs(dq - shell) <= radius], depth + 1))
 
 
+def parts_of(limit: int) -> list[tuple[int, int]]:
+    """(mask, radius) of `limit` parts of the 64 bits (two at least).
+
+    Fingerprints that differ in at most `limit` bits differ in at most the radius within some part,
+    as there are too few bits to exceed all radii: the radii and the number of parts add up to more
+    than `limit`. A part with a radius has more bits, so that its tree prunes more.
+    """
+    n = max(2, limit)
+    radii = [(limit - n + 1 + k) // n if limit else 0 for k in range(n)][::-1]
+    extra = [8 * (r > 0) for r in radii]
+    if sum(extra) > 32 or sum(extra) in (0, 8 * n):
+        extra = [0] * n
+    base, rest = divmod(64 - sum(extra), n)
+    out, at = [], 0
+    for k, r in enumerate(radii):
+        width = base + extra[k] + (k < rest)
+        out.append((((1 << width) - 1) << at, r))
+        at += width
+    return out
+
+
 def links(prints: DataFrame, limit: int = 4, seed: int = 7) -> DataFrame:
     """(u, v) over distinct fingerprints: a spanning forest of all pairs within `limit` bits.
 
-    prints: one column fp, distinct. If two fingerprints differ in at most `limit` bits, they differ
-    in at most limit // 2 bits of the upper half or in less than that, limit - limit // 2 - 1, of the
-    lower one, so one of two trees with these smaller radii finds the pair. The tops of the trees
-    come from a bounded sample; every fingerprint goes to its own cell as a member and to each
-    cell at a boundary within its radius as a query. A task compares a cell's members and queries
-    and sends on a forest of what it found, one link a row at most and never all pairs of a group.
+    prints: one column fp, distinct. There is a tree for each part of the bits, with that part's
+    radius. The tops of the trees come from a sample that grows with the input, up to MOST_CELLS;
+    every fingerprint goes to its own cell as a member and, as a query, to each cell at a boundary
+    within the radius. Cells are as many as the fingerprints ask for, so a cell's rows stay alike. A
+    task compares a cell's members and queries and sends on a forest of what it found, one link a
+    row at most and never all pairs of a group.
     """
     spark = prints.sparkSession
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    upper = limit // 2
-    trees = [t for t in (Tree(0xFFFFFFFF00000000, upper, sample, CELLS), Tree(0x00000000FFFFFFFF, limit - upper - 1, sample, CELLS)) if t.radius >= 0]
+    n = prints.count()
+    many = {r: min(MOST_CELLS, max(CELLS, n // (CELL_ROWS if r else CELL_ROWS // 5))) for r in (0, 1)}
+    share = min(1.0, SAMPLE_PER_CELL * max(many.values()) / max(1, n))
+    sample = prints.where(F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    sample = np.sort(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64))
+    trees = [Tree(mask, radius, sample, many[min(1, radius)]) for mask, radius in parts_of(limit)]
 
     def place(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             values = fps.view(np.uint64)
             for t, tree in enumerate(trees):
+                if wide and not tree.radius:
+                    continue  # a query's only cell is its own
                 rows, cells = tree.route(values, wide)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t), pa.int32()), pa.array(cells, pa.int32()), pa.array(fps[rows], pa.int64())], ["tree", "cell", "fp"])
 
     schema = "tree int, cell int, fp bigint"
     homes = prints.mapInArrow(lambda b: place(b, False), schema)
     visits = prints.mapInArrow(lambda b: place(b, True), schema)
-    # rows per cell: as many counts as there are cells, whatever the input
+    # rows per cell: as many counts as there are cells
     sizes = {(r[0], r[1]): r[2] for r in homes.groupBy("tree", "cell").count().collect()}
     seen = {(r[0], r[1]): r[2] for r in visits.groupBy("tree", "cell").count().collect()}
-    plan = [(t, c, -(-n // CELL_ROWS), -(-seen.get((t, c), 1) // (4 * CELL_ROWS))) for (t, c), n in sorted(sizes.items())]
+    plan = []
+    for (t, c), members in sorted(sizes.items()):
+        m, q = -(-members // CELL_ROWS), -(-seen.get((t, c), members) // (4 * CELL_ROWS))
+        plan.append((t, c, m, q, not trees[t].radius, not trees[t].radius and m == q == 1))
     if not plan:
         return spark.createDataFrame([], "u bigint, v bigint")
-    parts = spark.createDataFrame(plan, "tree int, cell int, m_blocks int, q_blocks int")
+    cells = spark.createDataFrame(plan, "tree int, cell int, m_blocks int, q_blocks int, own boolean, single boolean")
     salt = F.xxhash64("fp", F.lit(seed))
-    members = homes.join(F.broadcast(parts), ["tree", "cell"]).select("tree", "cell", F.pmod(salt, "m_blocks").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"), F.lit(True).alias("member"), "fp")
-    queries = visits.join(F.broadcast(parts), ["tree", "cell"]).select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"), F.pmod(salt, "q_blocks").cast("int").alias("q"), F.lit(False).alias("member"), "fp")
+    # in a cell that is its queries' only one and isn't cut, a row is member and query at once
+    at_home = homes.join(F.broadcast(cells), ["tree", "cell"])
+    members = at_home.select(
+        "tree", "cell", F.pmod(salt, "m_blocks").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"),
+        F.when(F.col("single"), F.lit(EITHER)).otherwise(F.lit(MEMBER)).alias("role"), "fp",
+    )
+    asking = at_home.where("own and not single").unionByName(visits.join(F.broadcast(cells), ["tree", "cell"]))
+    queries = asking.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"), F.pmod(salt, "q_blocks").cast("int").alias("q"), F.lit(QUERY).alias("role"), "fp")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        values = group["fp"].to_numpy().view(np.uint64)
-        own = group["member"].to_numpy()
+        values, role = group["fp"].to_numpy().view(np.uint64), group["role"].to_numpy()
+        member, query = role != QUERY, role != MEMBER
         nodes, at = np.unique(values, return_inverse=True)
         parent = np.arange(len(nodes))
         tree = trees[int(group["tree"].iloc[0])]
-        join_cell(values[own], values[~own], tree.mask, tree.radius, limit, parent, at[own], at[~own], np.random.default_rng(seed))
+        join_cell(values[member], values[query], tree.mask, tree.radius, limit, parent, at[member], at[query], np.random.default_rng(seed))
         roots = _find(parent, np.arange(len(nodes)))
         hang = roots != np.arange(len(nodes))
         return pd.DataFrame({"u": nodes[hang].view(np.int64), "v": nodes[roots[hang]].view(np.int64)})
@@ -214,16 +253,18 @@ def links(prints: DataFrame, limit: int = 4, seed: int = 7) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
     """(doc_id, fp, text_key, component_id): component_id is the least id that can be reached over links.
 
-    Equal fingerprints are joined first and count once in everything that follows. A fingerprint
-    with more than 1/1024 of all rows is one of fewer than 1024, which are broadcast; the rows of
-    all others meet their component in a sort-merge join.
+    Equal fingerprints are joined first and count once in everything that follows; only linked ones
+    meet in components. A fingerprint with more than 1/1024 of all rows is one of fewer than 1024,
+    which are broadcast; the rows of all others meet their component in a sort-merge join.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     parts = connected_components(links(classes.select("fp"), limit))
-    of = classes.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = materialise(of.join(least.hint("merge"), "root").select("fp", "n", "component_id"), "known")
+    linked = materialise(classes.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "least", "component"), "linked")
+    # written first, so that both sides of the join come straight from exchanges and a large component's rows can be split
+    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    moved = linked.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id")
+    known = materialise(classes.join(moved.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "known")
     total = known.agg(F.sum("n")).first()[0] or 0
     hot = known.where(F.col("n") > max(1, total // 1024)).select("fp", F.col("component_id").alias("hot_id"))
     marked = rows.join(F.broadcast(hot), "fp", "left").withColumn("key", F.when(F.col("hot_id").isNull(), F.col("fp").cast("string")).otherwise(F.concat(F.lit("hot "), F.col("doc_id").cast("string"))))

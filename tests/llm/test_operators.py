@@ -292,9 +292,30 @@ def test_vantage_point_join_finds_every_link(spark, monkeypatch):
     roots = classes(values, 4)
     mine = [parts.get(v, v) for v in values]
     assert len(set(zip(mine, roots))) == len(set(roots)) == len(set(mine))
-
-
-def test_components(spark):
+    for limit in (0, 1, 2, 3, 7, 14):
+        found = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in simhash.links(df, limit).collect()]
+        assert all(bin(u ^ v).count("1") <= limit * len(values) for u, v in found)
+        group = {v: v for v in values}
+        for _ in values:
+            before = dict(group)
+            for u, v in found:
+                group[u] = group[v] = min(group[u], group[v])
+            if group == before:
+                break
+        roots = classes(values, limit)
+        mine = [group[v] for v in values]
+        assert len(set(zip(mine, roots))) == len(set(roots)) == len(set(mine)), limit
+
+
+def test_parts_leave_no_pair_out():
+    for limit in range(20):
+        parts = simhash.parts_of(limit)
+        assert sum(r + 1 for _, r in parts) > limit and sum(m for m, _ in parts) == (1 << 64) - 1 and all(a & b == 0 for k, (a, _) in enumerate(parts) for b, _ in parts[:k])
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100, 102: 100}
