@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding as shortest paths through weighted finite-state transducers.
 
-A model file is compiled into three machines: the normaliser (a rewriting transducer), the lexicon
-(a trie of pieces over characters, with byte pieces as the fallback of unknown characters) and, for
-models whose pieces come from merges, an acceptor of adjacent pieces: two pieces may stand side by
-side only if merging their joined text yields just these two. A sequence is what merging yields
-exactly if all its neighbours are, so among all segmentations the one path of finite weight is the
-library's. For unigram models the pieces' weights are their negative scores and there is no
-acceptor. Either way the result is the shortest path of the composition with the input in the
+A model file is compiled into three machines: the normaliser (a sequential transducer: the character
+map's automaton followed by the space rules), the lexicon (a trie of pieces over characters, with byte
+pieces as the fallback of unknown characters) and, for models whose pieces come from merges, an
+acceptor of adjacent pieces: two pieces may stand side by side only if merging their joined text
+yields just these two. A sequence is what merging yields exactly if all its neighbours are, so among
+all segmentations the one path of finite weight is the library's. For unigram models the pieces'
+weights are their negative scores and there is no acceptor. An input is composed with the machines,
+arc by arc as the search asks for them, and the result is the shortest path of the composition in the
 tropical semiring (minimum, plus).
 
 A null text counts as empty and has no pieces; a null id is kept; an empty table gives an empty
-result; repeated rows are encoded each. Only the id and the text are read.
+result; repeated rows are encoded each. Very long texts are composed word by word. Of paths of equal
+weight the one is taken whose last piece begins first, as in the library. Only the id and the text
+are read, so clashing names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -64,6 +68,79 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+_RUNS = re.compile(" +|[^ ]+")
+
+
+class Normaliser:
+    """A sequential transducer from characters to normalised characters.
+
+    Its first part is the automaton of the model's character map, whose longest matches are
+    rewritten; all else passes through. Its second part has three states, that tell what the output
+    so far ends in: nothing yet, a character, or spaces that are written only if a character follows.
+    """
+
+    START, INSIDE, GAP = 0, 1, 2
+
+    def __init__(self, spec: dict):
+        self.dummy_prefix, self.squeeze, self.escape = (bool(spec.get(n, 1)) for n in (3, 4, 5))
+        self.space = SPACE if self.escape else " "
+        chart = spec.get(2, b"")
+        size = struct.unpack("<I", chart[:4])[0] if chart else 0
+        self.units, self.outputs = struct.unpack(f"<{size // 4}I", chart[4 : 4 + size]), chart[4 + size :]
+
+    def _match(self, data: bytes, at: int) -> tuple[int, int]:
+        """(length, place of the output) of the longest entry of the character map that data has at a place."""
+        units, best = self.units, (0, 0)
+        # a unit of the double array: a label, whether an entry ends here, and an offset to the next units
+        node = (units[0] >> 10) << ((units[0] & 512) >> 6)
+        for k in range(at, len(data)):
+            node ^= data[k]
+            if node >= len(units) or units[node] & 0x800000FF != data[k]:
+                break
+            unit = units[node]
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit & 256:
+                best = k + 1 - at, units[node] & 0x7FFFFFFF
+        return best
+
+    def mapped(self, text: str) -> str:
+        """The output of the character map."""
+        if not self.units:
+            return text
+        data, out, at = text.encode("utf-8", "surrogatepass"), bytearray(), 0
+        while at < len(data):
+            n, place = self._match(data, at)
+            if n:
+                out += self.outputs[place : self.outputs.index(0, place)]
+            else:
+                n = 1
+                while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
+                    n += 1
+                out += data[at : at + n]
+            at += n
+        return out.decode("utf-8", "surrogatepass")
+
+    def run(self, text: str, state: int = START) -> tuple[str, int]:
+        """What the machine writes over text, and the state that it ends in. Its arcs are taken for whole runs of characters."""
+        text = self.mapped(text)
+        prefix = self.space if self.dummy_prefix else ""
+        if not self.squeeze:
+            return (prefix if state == self.START and text else "") + text.replace(" ", self.space), self.INSIDE if text else state
+        out: list[str] = []
+        for part in _RUNS.findall(text):
+            if part[0] != " ":
+                out += ((prefix, "", self.space)[state], part)
+                state = self.INSIDE
+            elif state == self.INSIDE:
+                state = self.GAP
+        return "".join(out), state
+
+    def whole(self, text: str) -> str:
+        """The output for a whole text: the library also drops signs for a space that end it."""
+        out = self.run(text)[0]
+        return out.rstrip(self.space) if self.squeeze else out
+
+
 class Transducers:
     """The compiled machines of a model file."""
 
@@ -81,15 +158,19 @@ class Transducers:
             elif number == 3:
                 normaliser = dict(_fields(value))
         self.merges = trainer.get(3, 1) == 2
-        self.dummy_prefix, self.squeeze, self.escape = (bool(normaliser.get(n, 1)) for n in (3, 4, 5))
-        if normaliser.get(2):
-            raise ValueError("models with a character map are not supported")
+        if not self.merges and trainer.get(3, 1) != 1:
+            raise ValueError("models of words or characters have no pieces to compose")
+        self.normaliser = Normaliser(normaliser)
+        self.dummy_prefix, self.escape = self.normaliser.dummy_prefix, self.normaliser.escape
         self.ids = {p: k for k, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.score = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
         self.unknown = next((k for k, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
-        self.longest = max(map(len, self.ids), default=1)
+        plain = [np.float32(x) for _, x, kind in self.pieces if kind == NORMAL] or [np.float32(0)]
+        # as in the library: a character that is no piece costs more than any piece, a user's piece less
+        self.unknown_score = min(plain) - np.float32(10)
+        self.user_score = {p: np.float32(len(p.encode()) * max(plain) - np.float32(0.1)) for p, _, kind in self.pieces if kind == USER}
         # the lexicon: states are prefixes, final states are pieces
         self.trie: dict = {}
         for p in self.ids:
@@ -99,23 +180,18 @@ class Transducers:
             node[""] = p
         # no piece has a space sign after another character, so paths of different words never meet
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.words = Memo(self._word, NO_WORDS)
+        # words of the input after others and at its begin, and words that are normalised already
+        self.words = Memo(lambda word: self._ids(self.normaliser.run(word, Normaliser.INSIDE)[0]), NO_WORDS)
+        self.firsts = Memo(lambda word: self._ids(self.normaliser.run(word)[0]), NO_WORDS // 8)
+        self.normal = Memo(self._ids, NO_WORDS)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.sides: tuple[dict, dict] = ({}, {})
 
     def forget(self) -> None:
-        self.words.clear()
-        self.words.old = {}
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+        for memo in (self.words, self.firsts, self.normal):
+            memo.clear()
+            memo.old = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging yields: of all neighbours that make a piece, the leftmost best are joined first."""
@@ -212,14 +288,16 @@ class Transducers:
         return out
 
     def path(self, text: str) -> list[str]:
-        """The shortest path over text."""
-        return self._accepted(text) if self.merges else self._cheapest(text)
+        """The shortest path over a normalised text."""
+        return self._with_acceptor(text) if self.merges else self._by_weight(text)
 
-    def _accepted(self, text: str) -> list[str]:
-        """With the acceptor all finite weights are zero, so the first path that arrives is the shortest.
+    def _with_acceptor(self, text: str) -> list[str]:
+        """The shortest path where pieces weigh nothing and the acceptor's arcs 0 or, where they are absent, infinity.
 
-        Only one accepted path leads to any place (what merging makes of the text up to there), so a
-        place that was left in vain isn't entered again. Longer arcs are tried first.
+        All paths of finite weight weigh 0, so an agenda ordered by weight is a stack and the first
+        path that arrives is the shortest. Its top is the longest arc. An arc of the lexicon is
+        composed with the acceptor when it is taken. Only one path of finite weight leads to any place
+        (what merging makes of the text up to there), so a place that was left in vain isn't entered again.
         """
         n, follow = len(text), self.may_follow
         out: list[str] = []
@@ -242,25 +320,26 @@ class Transducers:
                 at -= len(out.pop())
         return out
 
-    def _cheapest(self, text: str) -> list[str]:
-        """Relaxes the arcs place by place: unigram weights depend on no neighbour."""
-        n = len(text)
-        best: list[tuple[float, str]] = [(0.0, "")] + [(INF, "")] * n
+    def _by_weight(self, text: str) -> list[str]:
+        """The shortest path where pieces have weights: arcs are relaxed place by place, in single precision as in the library."""
+        n, score, user = len(text), self.score, self.user_score
+        best: list[tuple[float, str]] = [(np.float32(0), "")] + [(np.float32(INF), "")] * n
         for at in range(n):
             total = best[at][0]
             for piece in self.arcs(text, at):
-                cost = total - self.score.get(piece, -1e6)
-                if cost < best[at + len(piece)][0]:
-                    best[at + len(piece)] = (cost, piece)
+                own = user[piece] if piece in user else np.float32(score[piece]) if piece in score else self.unknown_score
+                weight = -(np.float32(own - total))
+                if weight < best[at + len(piece)][0]:
+                    best[at + len(piece)] = (weight, piece)
         out, at = [], n
         while at:
             out.append(best[at][1])
             at -= len(best[at][1])
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
+    def _ids(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece in self.path(word):
+        for piece in self.path(text):
             if (k := self.ids.get(piece)) is not None:
                 ids.append(k)
             elif self.byte_ids:
@@ -271,11 +350,24 @@ class Transducers:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        text = self.normalise(text)
+        if self.normaliser.squeeze and not self.normaliser.units:
+            text = text.rstrip(" " + self.normaliser.space)
         if not text:
             return b""
-        words = self.words
-        return b"".join([words[w] for w in (_WORDS.findall(text) if self.by_word else [text])])
+        if self.by_word and not self.normaliser.units:
+            # spaces begin words, so each word is composed by itself from the state that the one before leaves
+            first, *others = _SEGMENTS.findall(text)
+            words = self.words
+            out = self.firsts[first] + b"".join([words[w] for w in others])
+        else:
+            text = self.normaliser.whole(text)
+            normal = self.normal
+            out = b"".join([normal[w] for w in (_WORDS.findall(text) if self.by_word else [text])])
+        if not self.byte_ids:
+            # a run of unknown characters is one unknown piece
+            ids = np.frombuffer(out, np.uint32)
+            out = ids[~((ids == self.unknown) & (np.concatenate(([0], ids[:-1])) == self.unknown) & (np.arange(len(ids)) > 0))].tobytes()
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The inverse machine: pieces to characters, byte pieces to bytes, without the dummy prefix."""
@@ -300,16 +392,22 @@ class Transducers:
             if kind == UNKNOWN:
                 piece = " ⁇ "
             elif self.escape:
-                if first and self.dummy_prefix and piece.startswith(SPACE):
+                if first and (self.dummy_prefix or self.normaliser.squeeze) and piece.startswith(SPACE):
                     piece = piece[1:]
+                    # where the normaliser drops spaces at the begin, so does its inverse
+                    first = self.normaliser.squeeze and not piece
+                else:
+                    first = False
                 piece = piece.replace(SPACE, " ")
-            first = False
+            first = first and not piece
             out.append(piece)
         flush()
         return "".join(out)
 
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: The same in an input, where the sign for a space may stand itself.
+_SEGMENTS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
 
 def _utf8(data: bytes) -> str:

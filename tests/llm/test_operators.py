@@ -408,6 +408,54 @@ def test_sentencepiece(docs, rows, none):
     assert wfst.encode(none, path).count() == 0
 
 
+def field(number, value):
+    """A field of a protocol buffer message."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def small_model(rng, byte_fallback, normaliser):
+    """A unigram model of made-up pieces, in the library's file format."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    texts = {"▁"} | set("abcdei") | {"".join(rng.choice("abcdei▁fé") for _ in range(rng.randint(2, 4))) for _ in range(60)}
+    pieces += [(t, -rng.uniform(1, 9), 1) for t in sorted(texts) if "▁" not in t[1:]]
+    out = b"".join(field(1, field(1, p) + field(2, x) + field(3, kind)) for p, x, kind in pieces)
+    return out + field(2, field(3, 1) + field(35, int(byte_fallback))) + field(3, normaliser)
+
+
+def test_weighted_models_and_character_maps(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(9)
+    signs = "abcdei  abcdeifﬁé　Ａ①㍿\t\n\u200b½ e\u0301▁日x"
+    texts = ["", " ", "a", "  a  b  ", "aaaaaa"] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    maps = [sentencepiece.SentencePieceNormalizer(rule_name=r).serialized_normalizer_spec() for r in ("nmt_nfkc", "nmt_nfkc_cf")]
+    plain = [field(1, "identity") + field(3, a) + field(4, b) + field(5, 1) for a in (0, 1) for b in (0, 1)]
+    for k, normaliser in enumerate(maps + plain):
+        for byte_fallback in (False, True):
+            path = str(tmp_path / f"m{k}{byte_fallback}.model")
+            with open(path, "wb") as f:
+                f.write(small_model(rng, byte_fallback, normaliser))
+            library, machines = sentencepiece.SentencePieceProcessor(model_file=path), wfst.Transducers(path)
+            for t in texts:
+                ids = library.encode(t)
+                assert list(array("I", machines.encode(t))) == ids, (k, byte_fallback, t, library.encode(t, out_type=str), machines.normaliser.run(t))
+                assert machines.decode(array("I", ids).tobytes()) == library.decode(ids), (k, byte_fallback, t)
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
