@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 
 ROWS_PER_BLOCK = 256
+#: Bytes of a text from which on it is a block of its own, so that a block has 256 times as many at most, or one text.
+OWN_BLOCK = 1 << 16
 #: Stands for a null id, so that it is larger than any other.
 NO_ID = (1 << 63) - 1
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(block, row, doc_id, text, rest), written once to a table bucketed by block, without a shuffle.
+    """(block, row, slot, doc_id, text, rest), written once to a table bucketed by block, without a shuffle.
 
-    Blocks are runs of rows of a scan partition. The later passes group and cogroup by block on
+    Blocks are runs of rows of a scan partition, but for long texts, which are blocks of their own;
+    slot is a row's number in its block. The later passes group and cogroup by block on
     the buckets as they lie, so texts never go through an exchange. rest has the carried columns.
     """
     spark = docs.sparkSession
@@ -32,7 +35,11 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str,
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select(F.floor(F.col("row") / ROWS_PER_BLOCK).cast("bigint").alias("block"), "row", "doc_id", "text", "rest")
+    long = F.octet_length("text") >= OWN_BLOCK
+    rows = rows.select(
+        F.when(long, -1 - F.col("row")).otherwise(F.floor(F.col("row") / ROWS_PER_BLOCK).cast("bigint")).alias("block"), "row",
+        F.when(long, F.lit(0)).otherwise(F.col("row") % ROWS_PER_BLOCK).cast("int").alias("slot"), "doc_id", "text", "rest",
+    )
     rows.write.bucketBy(buckets, "block").format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 

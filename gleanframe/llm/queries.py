@@ -52,7 +52,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rlz_dedup.dedup_spans(_documents(spark, sf_dir))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,17 +210,17 @@ class _Lot:
         return mixed((self.sums[at + length] - self.sums[at]) * self.inverse[at])
 
 
-def _lots(table: pa.Table, seek: int, window: int, anchor: int) -> Iterator[_Lot]:
+def _lots(table: pa.Table, seek: int, window: int, anchor: int, piece: int) -> Iterator[_Lot]:
     held, size = [], 0
     for row, text in zip(table.column("row").to_pylist(), table.column("text").to_pylist()):
         data = text.encode("utf-8", "surrogatepass")
-        for a in range(0, len(data) - seek + 1, LOT):
-            part = data[a : a + LOT + window - 1]
-            if held and size + len(part) > LOT + window:
+        for a in range(0, len(data) - seek + 1, piece):
+            part = data[a : a + piece + window - 1]
+            if held and size + len(part) > piece + window:
                 yield _Lot(held, seek, window, anchor)
                 held, size = [], 0
             # a start belongs to one piece, though pieces overlap
-            held.append((row, a, part, min(LOT, len(data) - seek + 1 - a)))
+            held.append((row, a, part, min(piece, len(data) - seek + 1 - a)))
             size += len(part)
     if held:
         yield _Lot(held, seek, window, anchor)
@@ -242,9 +242,10 @@ def _places(spans: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return flat[0][place], flat[1][place] + flat[2][run], flat[1][place] + flat[3][run], long[owner][place]
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, seek: int | None = None, anchor: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, seek: int | None = None, anchor: int | None = None, carry: tuple[str, ...] = (), piece: int = LOT) -> DataFrame:
     """One row per document: its kept bytes, the spans of bytes that went, and n_repeated, the bytes in
-    repeats of `seek` bytes (of `window` where it isn't given); rest has the columns to carry.
+    repeats of `seek` bytes (of `window` where it isn't given); rest has the columns to carry. piece: the
+    bytes of a text that are hashed at a time.
 
     Anchors are shuffled as one row per block and anchor, contexts as one row per block and distinct
     context; texts are not shuffled. Where an anchor has more than HOT contexts, they are cut into
@@ -260,7 +261,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def anchors_of(part: pa.Table) -> pa.Table:
         keys, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for lot in _lots(part, seek, window, anchor):
+        for lot in _lots(part, seek, window, anchor, piece):
             keys.append(lot.anchor)
             contexts.append(lot.context)
         keys, contexts = np.concatenate(keys), np.concatenate(contexts)
@@ -296,7 +297,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append(int(lot.rows[part_]))
             places.append(int(lo + lot.begin[part_]))
 
-        for lot in _lots(part, seek, window, anchor) if len(keys) else ():
+        for lot in _lots(part, seek, window, anchor, piece) if len(keys) else ():
             hit, where = found(keys, lot.anchor)
             for k in np.nonzero(hit)[0].tolist():
                 lo, hi, place, key = int(lot.lo[k]), int(lot.hi[k]), int(lot.place[k]), int(lot.anchor[k])

@@ -168,24 +168,43 @@ def test_best_fit():
     assert sorted(zip(bins, offsets)) == sorted(set(zip(bins, offsets)))
 
 
-def test_rlz_dedup(docs, rows, none, monkeypatch):
-    for lot in (1 << 20, 64):
-        monkeypatch.setattr(rlz_dedup, "LOT", lot)
-        first = {}
-        split = [(i, [w for w in re.split(GAPS, t) if w]) for i, t in pairs(rows)]
-        for i, w in split:
-            for k in range(len(w) - 12):
-                g = tuple(w[k : k + 13])
-                first[g] = min(first.get(g, float("inf")), float("inf") if i is None else i)
-        want = []
-        for i, w in split:
-            gone = set()
-            for k in range(len(w) - 12):
-                if first[tuple(w[k : k + 13])] < (float("inf") if i is None else i):
-                    gone.update(range(k, k + 13))
-            want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-        got = rlz_dedup.dedup_spans(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
-        assert ordered(map(tuple, got)) == ordered(want)
+def words_left(rows):
+    """(id, words, words that go, rest) by the contract's rule, and the words themselves."""
+    first = {}
+    split = [(i, [w for w in re.split(GAPS, t) if w]) for i, t in pairs(rows)]
+    for i, w in split:
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, float("inf")), float("inf") if i is None else i)
+    out = []
+    for i, w in split:
+        gone = set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < (float("inf") if i is None else i):
+                gone.update(range(k, k + 13))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+# words are hashed in pieces, all anchors are hot, hashes collide
+@pytest.mark.parametrize("piece, hot, hash_bits", [(1 << 20, 1024, 64), (64, 1024, 64), (1 << 20, 0, 64), (100, 3, 64), (1 << 20, 1024, 2), (50, 0, 1)])
+def test_rlz_dedup(docs, rows, none, piece, hot, hash_bits, monkeypatch):
+    monkeypatch.setattr(rlz_dedup, "HOT", hot)
+    got = rlz_dedup.dedup_spans(docs, piece=piece, hash_bits=hash_bits).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == ordered(words_left(rows))
+    words = {}
+    for i, t in pairs(rows):
+        words.setdefault(i, []).append([w for w in re.split(GAPS, t) if w])
+    copies = 0
+    for r in got:
+        for f in r.factors:
+            assert f.stop - f.start >= 13 and f.source_id < (r.doc_id if r.doc_id is not None else 1 << 62)
+            phrases = [w[f.source_start : f.source_start + f.stop - f.start] for w in words[f.source_id]]
+            assert any(w[f.start : f.stop] in phrases for w in words[r.doc_id])
+            copies = max(copies, f.stop - f.start)
+        spans = [(s.start, s.stop) for s in r.spans]
+        assert sum(b - a for a, b in spans) == r.n_removed and all(any(a <= f.start and f.stop <= b for a, b in spans) for f in r.factors)
+    assert copies >= 4000 or hot < 4 or piece < 4000  # a whole copy is one factor
     assert rlz_dedup.dedup_spans(none).count() == 0
 
 
@@ -208,13 +227,12 @@ def repeated(rows, window):
 
 @pytest.mark.parametrize("lot, hot, window, seek, anchor", [(1 << 20, 1024, 400, None, None), (256, 0, 60, 30, 12), (1 << 20, 0, 400, 200, 80), (1 << 20, 1024, 400, 200, None), (500, 0, 200, 200, 80), (300, 1024, 90, 12, 5), (1 << 20, 2, 90, 12, 5)])
 def test_suffix_dedup(docs, rows, none, lot, hot, window, seek, anchor, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "LOT", lot)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     want = []
     for (i, _), (b, gone), (_, short) in zip(pairs(rows), repeated(rows, window), repeated(rows, seek or window)):
         spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
         want.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g), sum(short)))
-    got = suffix_dedup.dedup_spans(docs, window=window, seek=seek, anchor=anchor)
+    got = suffix_dedup.dedup_spans(docs, window=window, seek=seek, anchor=anchor, piece=lot)
     assert ordered((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept), r.n_repeated if seek else sum(s.stop - s.start for s in r.spans)) for r in got.collect()) == ordered(want)
     assert suffix_dedup.dedup_spans(none, seek=200).count() == 0
 
