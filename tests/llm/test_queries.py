@@ -1,12 +1,18 @@
 """The registered queries on the smallest table, and the pipeline stage by stage."""
 
+import zlib
+from array import array
+
 import duckdb
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from gleanframe.llm import queries, simhash, toxicity
+from gleanframe.llm import bpe, queries, simhash, toxicity
 from gleanframe.llm.common import materialise
 
+from .test_operators import repeated
+
 DIR = "/root/testdata/sf0.001"
 N = 200
 
@@ -23,6 +29,29 @@ def test_query(spark, name):
         assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
 
 
+def pieces(rows):
+    return sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+
+
+def packed_whole(texts, rows, capacity=4096):
+    """Every document's pieces as the library's ids give them, in sequences without gaps, nearly as few as can be."""
+    whole = bpe.BpeIds(public_tokenizers.path("word_bpe_49k.json"), True).whole
+    want = []
+    for i, t in texts.items():
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, a in enumerate(range(0, len(ids), capacity)):
+            part = ids[a : a + capacity]
+            want.append((i, k, a, len(part), zlib.crc32(array("I", part).tobytes())))
+    assert pieces(rows) == sorted(want)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in bins.values():
+        ends = [a + n for a, n in sorted(items)]
+        assert [a for a, _ in sorted(items)] == [0, *ends[:-1]] and ends[-1] <= capacity
+    assert len(bins) <= -(-sum(w[3] for w in want) // capacity) + 1
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -49,7 +78,14 @@ def test_pipeline_stages(spark):
             assert kept == set(part.values())
         if name == "suffix_array_dedup":
             assert all(r.n_chars == len(r.text) for r in rows)
-            assert {r.doc_id for r in rows} == set(before)
+            want = {i: bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore") for i, (b, gone) in zip(before, repeated(list(before.items()), 200))}
+            assert {r.doc_id: r.text for r in rows} == want
+        if name == "best_fit_packing":
+            packed_whole(before, rows)
+    # run() is these stages one after the other
+    again = corpus_pipeline.run(spark, DIR).collect()
+    assert pieces(again) == pieces(rows)
+    packed_whole(before, again)
     assert seen["toxicity"] >= seen["exact_dedup"] >= seen["simhash_near_dedup"] == seen["suffix_array_dedup"] == seen["best_fit_packing"] > N * 0.6
 
 
