@@ -30,16 +30,13 @@ def artifact_score(luma: np.ndarray) -> float:
     """1 for a clean image, less the more steps stand out at the borders of 8-pixel blocks."""
     x = luma.astype(np.float32)
     rows, cols = np.abs(np.diff(x, axis=0)), np.abs(np.diff(x, axis=1))
-    edges = []
-    if x.shape[0] > 16:
-        edges.append(float(rows[7::8].mean()))
-    if x.shape[1] > 16:
-        edges.append(float(cols[:, 7::8].mean()))
+    # a side too short for borders counts as one without steps
+    edges = [float(rows[7::8].mean()) if x.shape[0] > 16 else 0.0, float(cols[:, 7::8].mean()) if x.shape[1] > 16 else 0.0]
     inner = [float(d.mean()) for d in (rows, cols) if d.size]
-    inside = sum(inner) / len(inner) if inner else 0.0
-    if inside < 1e-6 or not edges:
+    inside = sum(inner) / 2
+    if inside < 1e-6:
         return 1.0
-    ratio = sum(edges) / len(edges) / (inside + 1e-6)
+    ratio = sum(edges) / 2 / (inside + 1e-6)
     return min(1.0, max(0.0, 1.0 - (ratio - 1.0) / 0.6))
 
 

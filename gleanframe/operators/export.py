@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from ..config import MANIFEST_VERSION, TargetProfile
 from ..functions.scoring import suffixed_name
-from .ordering import checkpointed
+from .ordering import checkpointed, with_row_number
 
 
 @F.pandas_udf(StringType())
@@ -58,12 +58,14 @@ def _suffixed(path: Column, digits: Column) -> Column:
 def transfer(plan: DataFrame, root: str, mode: str, progress: Callable[[str, int, int], None] | None = None) -> list[tuple[str, str, str]]:
     """Copies, links or moves on the driver, once: (rel_path, dest, error) each. Needs (rel_path, abs_path, dest).
 
-    A progress listener that raises stops the transfer.
+    Files go in the order of selection. A progress listener that raises stops the transfer; its last
+    call says that all are done.
     """
     done, of = [], plan.count() if progress else 0
-    for row in plan.select("rel_path", "abs_path", "dest").orderBy("rel_path").toLocalIterator():
-        if progress:
-            progress("transferring", len(done), of)
+    if progress:
+        progress("transferring", 0, of)
+    ranked = [c for c in ("pick_no", "ord") if c in plan.columns]
+    for row in plan.orderBy(*ranked, "rel_path").select("rel_path", "abs_path", "dest").toLocalIterator():
         target = Path(root) / row["dest"]
         try:
             if not os.path.isfile(row["abs_path"]):
@@ -77,14 +79,17 @@ def transfer(plan: DataFrame, root: str, mode: str, progress: Callable[[str, int
             done.append((row["rel_path"], row["dest"], ""))
         except OSError as e:
             done.append((row["rel_path"], row["dest"], str(e)))
+        if progress:
+            progress("transferring", len(done), of)
     return done
 
 
 def manifest(images: DataFrame, exported: DataFrame, profile: TargetProfile, root: str, moved: bool = False) -> DataFrame:
-    """One row per file that arrived, in collection order; exported has (rel_path, dest)."""
+    """One row per file that arrived, in the order of selection: that of the picks under a cap, else of collection. exported has (rel_path, dest)."""
     there = F.concat(F.lit(root.rstrip("/") + "/"), "dest")
     target = F.struct(*[F.lit(getattr(profile, k)).cast("string").alias(k) for k in ("target_style", "target_backend", "checkpoint", "target_category")])
-    return images.join(exported, "rel_path").orderBy("ord").select(
+    order = ["pick_no", "ord"] if "pick_no" in images.columns else ["ord"]
+    return images.join(exported, "rel_path").orderBy(*order).select(
         F.lit(MANIFEST_VERSION).alias("manifest_version"), "rel_path", (there if moved else F.col("abs_path")).alias("abs_path"), F.col("dest").alias("exported_path"),
         there.alias("exported_abs_path"), target.alias("target_profile"), "primary_face_cluster", "primary_face_pose", F.round("score", 4).alias("score"), "similar_group",
     )
@@ -129,8 +134,13 @@ def exported_maps(exported: DataFrame, root: str) -> DataFrame:
     return exported.select("rel_path", F.col("dest").alias("exported_path"), F.concat(F.lit(base + "/"), "dest").alias("exported_abs_path"))
 
 
+def selected_paths(decided: DataFrame) -> DataFrame:
+    """(rel_path, place): what was chosen, in the order of paths as texts, numbered from 0."""
+    return with_row_number(decided.where("keep_reason = ''").select("rel_path"), ["rel_path"], "place")
+
+
 def export_result(decided: DataFrame, exported: DataFrame, skipped: int = 0) -> DataFrame:
-    """One row: counts, and the chosen paths in order."""
+    """One row of counts; selected_paths() has the chosen paths."""
     rows = decided.join(exported.select("rel_path", F.lit(True).alias("_there")), "rel_path", "left")
     return rows.agg(
         F.count(F.when(F.col("keep_reason") == "", 1)).alias("selected"), F.count(F.when(F.col("keep_reason") != "", 1)).alias("excluded"), F.count("_there").alias("exported")

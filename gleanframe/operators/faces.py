@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FaceConfig
+from ..functions.rounding import exact_round
 from ..functions.scoring import pose_bucket
 from .ordering import checkpointed, with_row_number
 
@@ -22,8 +23,8 @@ def valid_faces(detections: DataFrame, cfg: FaceConfig) -> DataFrame:
     """
     kept = detections.where((F.col("det_score") >= cfg.min_det_score) & F.col("embedding").isNotNull())
     box = {"x": F.col("x1"), "y": F.col("y1"), "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
-    kept = kept.withColumns({k: F.round(v, 1) for k, v in box.items()})
-    return kept.withColumns({"area": F.col("w") * F.col("h"), "pose": pose_bucket(F.col("yaw"), cfg), "yaw": F.round("yaw", 2), "pitch": F.round("pitch", 2)})
+    kept = kept.withColumns({k: exact_round(v, 1) for k, v in box.items()})
+    return kept.withColumns({"area": F.col("w") * F.col("h"), "pose": pose_bucket(F.col("yaw"), cfg), "yaw": exact_round(F.col("yaw"), 2), "pitch": exact_round(F.col("pitch"), 2)})
 
 
 def normalised(vector: Column) -> Column:
@@ -45,17 +46,31 @@ def average_linkage(vectors: np.ndarray, eps: float) -> np.ndarray:
     d = 1.0 - vectors @ vectors.T
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        k = int(np.argmin(d))
-        a, b = sorted(divmod(k, len(d)))
-        if not d[a, b] < eps:
+    # each row's nearest neighbour is kept, so a merge costs a row instead of the whole matrix
+    near = d.argmin(axis=1) if n > 1 else np.zeros(n, int)
+    least = d[np.arange(n), near]
+    for _ in range(n - 1):
+        a = int(np.argmin(least))
+        b = int(near[a])
+        if not least[a] < eps:
             break
+        a, b = min(a, b), max(a, b)
         row = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
         size[a] += size[b]
         d[a, :], d[:, a] = row, row
         d[a, a] = np.inf
         d[b, :], d[:, b] = np.inf, np.inf
+        least[b] = np.inf
         label[label == b] = a
+        # rows whose neighbour was merged look again; any other can only have come nearer to the merged one
+        again = np.nonzero((near == a) | (near == b) | (np.arange(n) == a))[0]
+        again = again[again != b]
+        near[again] = d[again].argmin(axis=1)
+        least[again] = d[again, near[again]]
+        closer = d[a] < least
+        near[closer], least[closer] = a, d[a][closer]
+        ties = (d[a] == least) & (a < near) & np.isfinite(least)
+        near[ties] = a
     return label
 
 
@@ -144,17 +159,30 @@ def named_clusters(labelled: DataFrame) -> DataFrame:
     return groups.select("label", F.concat(F.lit("face_"), F.col("n").cast("string")).alias("cluster_id"), "size", F.col("best.rel_path").alias("representative_rel_path"), *[F.col(f"best.{c}").alias(f"representative_{c}") for c in "xywh"])
 
 
+def _presence() -> Column:
+    """A face's size times its certainty, which is stored with four decimals."""
+    return F.col("area") * (0.5 + 0.5 * exact_round(F.col("det_score"), 4))
+
+
+def cluster_table(named: DataFrame) -> DataFrame:
+    """(cluster_id, size, representative_rel_path, representative_bbox) in order: largest first, then by first member."""
+    rows = named.orderBy(F.substring_index("cluster_id", "_", -1).cast("bigint"))
+    return rows.select("cluster_id", "size", "representative_rel_path", F.array(*[f"representative_{c}" for c in "xywh"]).alias("representative_bbox"))
+
+
+FACES_TYPE = "array<struct<bbox:array<double>,det_score:double,cluster_id:string,primary:boolean,yaw:double,pitch:double,pose:string>>"
+
+
 def primary_faces(named: DataFrame) -> DataFrame:
     """(rel_path, face_count, primary_face_cluster, primary_face_pose, primary_face_yaw) by size and certainty of the face."""
-    weight = F.col("area") * (0.5 + 0.5 * F.col("det_score"))
-    best = F.max_by(F.struct("cluster_id", "pose", "yaw"), F.struct(weight, -F.col("face_id")))
+    best = F.max_by(F.struct("cluster_id", "pose", "yaw"), F.struct(_presence(), -F.col("face_id")))
     found = named.groupBy("rel_path").agg(F.count("*").alias("face_count"), best.alias("b"))
     return found.select("rel_path", "face_count", F.col("b.cluster_id").alias("primary_face_cluster"), F.col("b.pose").alias("primary_face_pose"), F.col("b.yaw").alias("primary_face_yaw"))
 
 
 def faces_per_image(named: DataFrame) -> DataFrame:
     """(rel_path, faces): an array of structs in input order; the primary face is marked."""
-    w = Window.partitionBy("rel_path").orderBy((F.col("area") * (0.5 + 0.5 * F.col("det_score"))).desc(), "face_id")
-    marked = named.withColumn("primary", F.row_number().over(w) == 1)
+    w = Window.partitionBy("rel_path").orderBy(_presence().desc(), "face_id")
+    marked = named.withColumn("primary", F.row_number().over(w) == 1).withColumn("det_score", exact_round(F.col("det_score"), 4))
     one = F.struct("face_id", F.array("x", "y", "w", "h").alias("bbox"), "det_score", "cluster_id", "primary", "yaw", "pitch", "pose")
     return marked.groupBy("rel_path").agg(F.transform(F.sort_array(F.collect_list(one)), lambda f: f.dropFields("face_id")).alias("faces"))

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, so rounds and row numbers are computed once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written once to the shared checkpoint folder and read from there, so rounds and row numbers are computed once.
+
+    A table, where DataFrame.checkpoint() would compute df twice.
+    """
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

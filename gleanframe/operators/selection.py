@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExportRequest
+from .ordering import with_row_number
 
 FARTHEST = 64.0
 
@@ -78,15 +79,21 @@ def diverse_picks(rows: DataFrame, n: int, weight: float) -> DataFrame:
 
 
 def decide(images: DataFrame, req: ExportRequest, diversity_weight: float) -> DataFrame:
-    """Adds keep_reason: empty for what is chosen, a reason for everything else."""
+    """Adds keep_reason: empty for what is chosen, a reason for everything else; and pick_no, the order of the
+    picks where a cap made some (null elsewhere)."""
+    unordered = F.lit(None).cast("int").alias("pick_no")
     if req.selection is not None:
-        return inline_selection(images, req.selection)
+        return inline_selection(images, req.selection).select("*", unordered)
     gated = with_gate_reasons(images, req)
     free = F.col("keep_reason").isNull()
     if req.max_keep is None or gated.where(free).count() <= req.max_keep:
-        return gated.withColumn("keep_reason", F.coalesce("keep_reason", F.lit("")))
+        return gated.withColumn("keep_reason", F.coalesce("keep_reason", F.lit(""))).select("*", unordered)
     eligible = gated.where(free)
-    picks = top_by_score(eligible, req.max_keep).select("ord") if diversity_weight <= 0 else diverse_picks(eligible, req.max_keep, diversity_weight).select("ord")
-    marked = gated.join(picks.withColumn("_chosen", F.lit(True)), "ord", "left")
-    reason = F.coalesce("keep_reason", F.when(F.col("_chosen"), F.lit("")).otherwise(F.lit("diversity-trimmed")))
-    return marked.withColumn("keep_reason", reason).select(*images.columns, "keep_reason")
+    if diversity_weight <= 0:
+        # the order of the picks is that of the scores; they are as many as the caller keeps
+        picks = with_row_number(top_by_score(eligible, req.max_keep).select("ord", "score"), [F.col("score").desc(), "ord"], "pick_no", 1).select("ord", F.col("pick_no").cast("int"))
+    else:
+        picks = diverse_picks(eligible, req.max_keep, diversity_weight)
+    marked = gated.join(picks, "ord", "left")
+    reason = F.coalesce("keep_reason", F.when(F.col("pick_no").isNotNull(), F.lit("")).otherwise(F.lit("diversity-trimmed")))
+    return marked.withColumn("keep_reason", reason).select(*images.columns, "keep_reason", "pick_no")
