@@ -166,6 +166,10 @@ class Transducers:
         self.score = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
+        self.outputs = [
+            bytes([self.byte_of[k]]) if k in self.byte_of else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else (p.replace(SPACE, " ") if self.escape else p).encode()
+            for k, (p, _, kind) in enumerate(self.pieces)
+        ]
         self.unknown = next((k for k, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         plain = [np.float32(x) for _, x, kind in self.pieces if kind == NORMAL] or [np.float32(0)]
         # as in the library: a character that is no piece costs more than any piece, a user's piece less
@@ -180,6 +184,7 @@ class Transducers:
             node[""] = p
         # no piece has a space sign after another character, so paths of different words never meet
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.segments = _SEGMENTS if self.normaliser.squeeze else self._independent()
         # words of the input after others and at its begin, and words that are normalised already
         self.words = Memo(lambda word: self._ids(self.normaliser.run(word, Normaliser.INSIDE)[0]), NO_WORDS)
         self.firsts = Memo(lambda word: self._ids(self.normaliser.run(word)[0]), NO_WORDS // 8)
@@ -188,6 +193,19 @@ class Transducers:
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.sides: tuple[dict, dict] = ({}, {})
 
+    def _independent(self) -> re.Pattern:
+        """Cuts an input where no piece reaches across: before spaces, around characters that only pieces of their
+        own have, and between a word and a sign that no piece has after a letter."""
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        after_letters = {b for p in self.ids for a, b in zip(p, p[1:]) if _LETTER.match(a)}
+        signs = [chr(c) for c in range(128) if chr(c) != " " and not _LETTER.match(chr(c))]
+        alone = "".join(re.escape(c) for c in signs if c not in joined)
+        ends = "".join(re.escape(c) for c in signs if c not in after_letters)
+        spaces = f" {SPACE}"
+        parts = [f"[{spaces}]*[^\\W\\d_]+(?=[{spaces}{ends}]|\\Z)"] if ends else []
+        parts += [f"[{alone}]"] if alone else []
+        return re.compile("|".join([*parts, f"[{spaces}]*[^{spaces}{alone}]+", f"[{spaces}]+"]))
+
     def forget(self) -> None:
         for memo in (self.words, self.firsts, self.normal):
             memo.clear()
@@ -299,25 +317,43 @@ class Transducers:
         composed with the acceptor when it is taken. Only one path of finite weight leads to any place
         (what merging makes of the text up to there), so a place that was left in vain isn't entered again.
         """
-        n, follow = len(text), self.may_follow
+        n, trie, pairs, compatible = len(text), self.trie, self.pairs, self.may_follow
         out: list[str] = []
         dead = bytearray(n + 1)
-        choices = [self.arcs(text, 0)]
-        at = 0
+        choices: list[list[str]] = []
+        at, last, options = 0, "", None
         while at < n:
-            options, last = choices[-1], out[-1] if out else ""
+            if options is None:
+                # pieces that start here, the longest last, as arcs() gives them
+                options, node, single = [text[at]], trie, True
+                for c in text[at:]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    if single:
+                        single = False
+                    elif "" in node:
+                        options.append(node[""])
             while options:
                 piece = options.pop()
                 to = at + len(piece)
-                if not dead[to] and (follow(last, piece) if last else self.parts(piece) != (piece, piece)):
+                if dead[to]:
+                    continue
+                if last:
+                    ok = pairs.get((last, piece))
+                    if ok is None:
+                        ok = compatible(last, piece)
+                else:
+                    ok = self.parts(piece) != (piece, piece)
+                if ok:
                     out.append(piece)
-                    at = to
-                    choices.append(self.arcs(text, at) if at < n else [])
+                    choices.append(options)
+                    at, last, options = to, piece, None
                     break
             else:
                 dead[at] = 1
-                choices.pop()
                 at -= len(out.pop())
+                last, options = out[-1] if out else "", choices.pop()
         return out
 
     def _by_weight(self, text: str) -> list[str]:
@@ -356,7 +392,7 @@ class Transducers:
             return b""
         if self.by_word and not self.normaliser.units:
             # spaces begin words, so each word is composed by itself from the state that the one before leaves
-            first, *others = _SEGMENTS.findall(text)
+            first, *others = self.segments.findall(text)
             words = self.words
             out = self.firsts[first] + b"".join([words[w] for w in others])
         else:
@@ -371,6 +407,17 @@ class Transducers:
 
     def decode(self, ids: bytes) -> str:
         """The inverse machine: pieces to characters, byte pieces to bytes, without the dummy prefix."""
+        numbers = array("I", ids)
+        if numbers and not self.normaliser.squeeze and self.pieces[numbers[0]][2] != CONTROL:
+            # pieces are whole characters, so if all bytes together are a text, each run of byte pieces is
+            outputs = self.outputs
+            data = b"".join([outputs[k] for k in numbers])
+            if self.dummy_prefix and self.escape and numbers[0] not in self.byte_of and data.startswith(b" ") and self.pieces[numbers[0]][2] != UNKNOWN:
+                data = data[1:]
+            try:
+                return data.decode()
+            except UnicodeDecodeError:
+                pass
         out: list[str] = []
         held = bytearray()
         first = True
@@ -380,7 +427,7 @@ class Transducers:
                 out.append(_utf8(bytes(held)))
                 held.clear()
 
-        for k in array("I", ids):
+        for k in numbers:
             if (b := self.byte_of.get(k)) is not None:
                 held.append(b)
                 first = False
@@ -406,6 +453,7 @@ class Transducers:
 
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_LETTER = re.compile(r"[^\W\d_]")
 #: The same in an input, where the sign for a space may stand itself.
 _SEGMENTS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
