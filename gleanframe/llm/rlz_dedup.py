@@ -186,12 +186,14 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = np.nonzero(new)[0]
         low, high, n = (f.reduceat(v, first) if len(first) else first for f, v in ((np.minimum, owner), (np.maximum, owner), (np.add, other.astype(np.int32))))
         block = np.full(len(first), part.column("block")[0].as_py(), np.int64)
-        return pa.table({"key": pa.array(keys[first].view(np.int64)), "block": pa.array(block), "low": pa.array(low), "high": pa.array(high), "phrases": pa.array(n, pa.int32())})
+        # phrases, negative if they are of several ids: a column less to shuffle
+        signed = np.where(low < high, -n, n).astype(np.int32)
+        return pa.table({"key": pa.array(keys[first].view(np.int64)), "block": pa.array(block), "low": pa.array(low), "phrases": pa.array(signed, pa.int32())})
 
     w = Window.partitionBy("key")
-    counted = table.groupBy("block").applyInArrow(anchors_of, "key bigint, block bigint, low bigint, high bigint, phrases int")
-    shared = counted.withColumns({"least": F.min("low").over(w), "most": F.max("high").over(w), "hot": F.sum("phrases").over(w) > HOT})
-    shared = shared.where("least < most").select("block", "key", "hot")
+    counted = table.groupBy("block").applyInArrow(anchors_of, "key bigint, block bigint, low bigint, phrases int")
+    shared = counted.withColumns({"several": (F.min("low").over(w) < F.max("low").over(w)) | (F.min("phrases").over(w) < 0), "hot": F.sum(F.abs("phrases")).over(w) > HOT})
+    shared = shared.where("several").select("block", "key", "hot")
 
     def phrases_of(part: pa.Table, hits: pa.Table) -> pa.Table:
         block = part.column("block")[0].as_py()
