@@ -8,6 +8,7 @@ from dataclasses import dataclass
 STYLES = ("photo", "anime")
 CATEGORIES = ("identity", "wardrobe", "pose_composition", "setting")
 POSES = ("frontal", "three_quarter", "profile")
+DEVICES = ("auto", "cpu", "cuda")
 TRANSFER_MODES = ("copy", "symlink", "move")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 MANIFEST_VERSION = "2.1"
@@ -39,19 +40,28 @@ class ScanConfig:
     weight_sharpness: float = 0.35
     weight_resolution: float = 0.30
     weight_artifact: float = 0.15
+    #: Kept for stored settings; no score reads it.
+    weight_subject: float = 0.20
     sharpness_ref: float = 800.0
     resolution_ref: int = 1024
     diversity_weight: float = 0.40
+    #: Kept for stored settings; Spark decides how many tasks run at once.
+    max_workers: int = 4
 
 
 @dataclass(frozen=True)
 class FaceConfig:
     enabled: bool = False
+    model: str = "buffalo_l"
+    device: str = "auto"
     min_det_score: float = 0.5
     cluster_eps: float = 0.5
     frontal_max_yaw: float = 15.0
     three_quarter_max_yaw: float = 45.0
 
+    def __post_init__(self):
+        _one_of("device", self.device, DEVICES)
+
 
 @dataclass(frozen=True)
 class ExportRequest:
@@ -65,6 +75,9 @@ class ExportRequest:
     flatten: bool = False
     mode: str = "copy"
     allow_move: bool = False
+    write_manifest: bool = True
+    #: Which stored scan the export is of.
+    scan_id: str | None = None
 
     def __post_init__(self):
         _one_of("mode", self.mode, TRANSFER_MODES)

@@ -20,9 +20,9 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def parse_hash(text: Column) -> Column:
-    """Signed long of 16 hex digits; null for anything else."""
-    return F.when(text.rlike("^[0-9a-fA-F]{16}$"), F.conv(text, 16, -10).cast("bigint"))
+def hex_hash(h: Column) -> Column:
+    """16 hex digits of a signed long."""
+    return F.lpad(F.lower(F.hex(h)), 16, "0")
 
 
 def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:

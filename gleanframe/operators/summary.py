@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def pose_distribution(images: DataFrame) -> DataFrame:
     return images.where("primary_face_pose is not null").groupBy("primary_face_pose").agg(F.count("*").alias("n")).orderBy("primary_face_pose")
 
 
-def report_order(images: DataFrame) -> DataFrame:
-    return images.orderBy("similar_group", F.col("score").desc(), "ord")
+def rows_as_dicts(rows: DataFrame) -> list[dict]:
+    """Rows of a page as JSON objects, in their order, with their nulls."""
+    return [json.loads(r.value) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect()]
 
 
 def page(images: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -39,10 +39,6 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hex_hash(h: Column) -> Column:
-    return F.lpad(F.lower(F.hex(h)), 16, "0")
-
-
 #: The same tables for DuckDB.
 METRICS_SQL = """
 WITH raw AS (SELECT *, list_sort(embedding) AS sorted FROM embeddings),

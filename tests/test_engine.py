@@ -132,6 +132,31 @@ def test_gate_reasons(spark):
         ExportRequest(mode="move")
 
 
+def mean_linkage(x, eps):
+    """Labels of clusters as lists of members, whose mean distance is taken anew over all pairs before each merge."""
+    d = 1.0 - x @ x.T
+    clusters = [[k] for k in range(len(x))]
+    while len(clusters) > 1:
+        mean, a, b = min((np.mean([d[i, j] for i in p for j in q]), a, b) for a, p in enumerate(clusters) for b, q in enumerate(clusters) if a < b)
+        if not mean < eps:
+            break
+        clusters[a] = clusters[a] + clusters.pop(b)
+    label = {k: min(c) for c in clusters for k in c}
+    return [label[k] for k in range(len(x))]
+
+
+def nearest_leaders(x, eps):
+    leaders, out = [], []
+    for k in range(len(x)):
+        near = [(1.0 - float(x[j] @ x[k]), j) for j in leaders]
+        d, j = min(near, default=(9.0, -1))
+        if d >= eps:
+            leaders.append(k)
+            j = k
+        out.append(j)
+    return out
+
+
 def test_identities(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 16))
@@ -139,9 +164,13 @@ def test_identities(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "face_id long, embedding array<double>")
     x = np.array(vectors)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    for method, f in (("average", faces.average_linkage), ("leaders", faces.first_leaders)):
+    for method, f in (("average", mean_linkage), ("leaders", nearest_leaders)):
         got = {r.face_id: r.label for r in faces.identities(df, 0.4, method).collect()}
-        assert [got[k] for k in range(40)] == f(x, 0.4).tolist()
+        assert [got[k] for k in range(40)] == f(x, 0.4)
+    for eps in (0.1, 0.6, 0.9, 1.1):
+        x = rng.normal(size=(60, 5))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert faces.average_linkage(x, eps).tolist() == mean_linkage(x, eps)
     assert faces.identities(df.limit(0), 0.4).count() == 0
 
 
@@ -167,6 +196,7 @@ def test_folder_scan_and_export(spark, tmp_path):
     assert (counts.total, counts.passed, counts.rejected, counts.duplicates) == (6, 3, 3, 1)
     assert dedup.multi_member_groups(results).first()[0] == 1
     tally = {r.reason: r.n for r in summary.reject_tally(results).collect()}
+    assert [r.phash for r in results.orderBy("ord").collect()][0] == "" and all(len(r.phash) == 16 and r.faces == [] for r in results.where("hash is not null").collect())
     assert tally == {"blurry": 1, "resolution too low": 1, "cannot open: unreadable image": 1}
     assert [r.rel_path for r in results.orderBy("ord").collect()][:3] == ["broken.png", "personA/s1/dup.png", "personA/s1/img.png"]
     assert {r.folder: r.n for r in images.browse(results).collect()} == {"": 1, "personA": 3, "personB": 2}
@@ -230,7 +260,7 @@ def test_command_line(spark, tmp_path, capsys):
 
     calls = []
     scan = api.scan_folder(spark, str(tmp_path / "in"), progress=lambda *x: calls.append(x) or 1 / 0)
-    assert calls and scan.page(1, 5)["returned"] == 1 and json.loads(api.wire_schema(scan))["type"] == "struct"
+    assert calls and scan.page(1, 5)["returned"] == 1
     moved = api.export_selection(scan, ExportRequest(min_score=0.0, mode="move", allow_move=True), "gone", root=str(tmp_path))
     assert moved["exported"] == 2 and not (tmp_path / "in/a/x.png").exists()
     assert json.loads((tmp_path / "gone/manifest.jsonl").read_text().splitlines()[0])["abs_path"] == str(tmp_path / "gone/a/x.png")
@@ -240,3 +270,180 @@ def test_command_line(spark, tmp_path, capsys):
         api.export_selection(scan, ExportRequest(), "../out", root=str(tmp_path))
     with pytest.raises(ZeroDivisionError):
         api.export_selection(scan, ExportRequest(min_score=0.0), "copy", root=str(tmp_path), progress=lambda *x: 1 / 0)
+
+
+def test_manifest_is_in_pick_order(spark, tmp_path):
+    import json
+
+    from gleanframe import api
+
+    rng = random.Random(3)
+    metrics = [(k, f"p{k}.png", f"/nowhere/p{k}.png", 1024, 1024 - k, 300.0 + 10 * k, 0.9, rng.getrandbits(62)) for k in range(12)]
+    rows = spark.createDataFrame(metrics, "ord long, rel_path string, abs_path string, width int, height int, sharpness double, artifact_score double, hash long")
+    for weight in (0.4, 0.0):
+        scan = api.scan_metrics(rows, config=ScanConfig(cluster_distance=-1, diversity_weight=weight))
+        decided = plans.export_plan(scan.results, ExportRequest(min_score=0.0, max_keep=5), scan.config).persist()
+        eligible = scan.results.collect()
+        if weight:
+            want = [metrics[r.ord][1] for r in selection.diverse_picks(scan.results, 5, weight).orderBy("pick_no").collect()]
+        else:
+            want = [r.rel_path for r in sorted(eligible, key=lambda r: (-r.score, r.ord))[:5]]
+        exported = decided.where("keep_reason = ''").select("rel_path", F.col("rel_path").alias("dest"))
+        got = [json.loads(r.value)["rel_path"] for r in export.manifest_lines(export.manifest(decided, exported, TargetProfile(), "/out")).collect()]
+        assert got == want != sorted(want)
+        assert [r.rel_path for r in export.selected_paths(decided).orderBy("place").collect()] == sorted(want)
+    # files are absent: all are skipped, and no manifest is written if none is wanted
+    calls = []
+    result = api.export_selection(scan, ExportRequest(min_score=0.0, max_keep=5, write_manifest=False), str(tmp_path / "out"), progress=lambda *x: calls.append(x))
+    assert (result["copied"], result["skipped"], result["manifest_path"], result["mode"]) == (0, 5, None, "copy") and result["selected_rel_paths"] == sorted(want)
+    assert calls[0] == ("transferring", 0, 5) and calls[-1] == ("transferring", 5, 5) and not (tmp_path / "out").exists()
+
+
+def test_artifact_score_of_thin_images():
+    from gleanframe.functions import kernels
+
+    rng = np.random.default_rng(4)
+    for h, w in ((12, 600), (600, 12), (40, 50), (10, 9), (17, 16)):
+        x = rng.integers(0, 255, (h, w)).astype(np.float32)
+        across = np.mean([abs(x[k] - x[k - 1]).mean() for k in range(8, h, 8)]) if h > 16 else 0.0
+        down = np.mean([abs(x[:, k] - x[:, k - 1]).mean() for k in range(8, w, 8)]) if w > 16 else 0.0
+        inside = (abs(np.diff(x, axis=0)).mean() + abs(np.diff(x, axis=1)).mean()) / 2
+        want = min(1.0, max(0.0, 1 - ((across + down) / 2 / inside - 1) / 0.6))
+        assert abs(kernels.artifact_score(x.astype(np.uint8)) - want) < 1e-4, (h, w)
+    assert kernels.artifact_score(np.full((50, 50), 7, np.uint8)) == 1.0
+
+
+def test_hidden_files_and_images_in_memory(spark, tmp_path):
+    from gleanframe import api
+    from gleanframe.functions import decoding
+
+    root = tmp_path / "in"
+    for k, rel in enumerate(("a.png", "_b.png", ".c.png", ".h/d.png", "x/_y/e.png", ".png")):
+        png(root / rel, noise(k, 600))
+    (root / "_broken.jpg").write_bytes(b"no image")
+    want = [".c.png", ".h/d.png", "_b.png", "_broken.jpg", "a.png", "x/_y/e.png"]
+    files = images.collect_images(spark, str(root)).orderBy("ord").collect()
+    assert [r.rel_path for r in files] == want and all(r.abs_path == f"{root}/{r.rel_path}" for r in files)
+    calls = []
+    scan = api.scan_folder(spark, str(root), progress=lambda *x: calls.append(x))
+    got = {r.rel_path: r for r in scan.results.collect()}
+    assert sum(r.passed for r in got.values()) == 5 and got["_broken.jpg"].reject_reason.startswith("cannot open")
+    assert [c[0] for c in calls] == ["collecting"] * 2 + ["scoring"] * 2 + ["clustering"] * 2 and calls[-1] == ("clustering", 6, 6)
+    assert (decoding.decode((root / "_b.png").read_bytes())[..., ::-1] == noise(1, 600)).all()
+
+    rows = [(p, f"/m/{p}", (root / p).read_bytes()) for p in reversed(want)]
+    again = api.scan_items(spark.createDataFrame(rows, "rel_path string, abs_path string, content binary"))
+    same = ("ord", "rel_path", "score", "phash", "passed", "sharpness", "artifact_score", "width", "similar_group")
+    assert sorted(tuple(r[c] for c in same) for r in again.results.collect()) == sorted(tuple(r[c] for c in same) for r in got.values())
+    assert api.scan_items(spark.createDataFrame([], "rel_path string, abs_path string, content binary")).summary()["total"] == 0
+
+
+def test_png_lines_of_every_filter():
+    from gleanframe.functions import decoding
+
+    rng = np.random.default_rng(6)
+    for samples in (1, 3, 4):
+        pixels = rng.integers(0, 255, (10, 7, samples), np.uint8)
+        lines, above = b"", np.zeros(7 * samples, np.int64)
+        for y in range(10):
+            line = pixels[y].ravel().astype(np.int64)
+            left = np.concatenate((np.zeros(samples, np.int64), line[:-samples]))
+            corner = np.concatenate((np.zeros(samples, np.int64), above[:-samples]))
+            guess = left + above - corner
+            a, b, c = abs(guess - left), abs(guess - above), abs(guess - corner)
+            paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+            kind = y % 5
+            lines += bytes([kind]) + ((line - [0 * line, left, above, (left + above) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+            above = line
+
+        def chunk(kind, data):
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+        colour = {1: 0, 3: 2, 4: 6}[samples]
+        content = decoding.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+        assert (decoding.decode(content) == pixels[..., :3][..., ::-1]).all()
+    assert decoding.decode(b"") is None and decoding.decode(content[:60]) is None
+
+
+def test_detectors_are_plugged_in(spark, tmp_path, capsys):
+    import json
+
+    from gleanframe import api, cli
+    from gleanframe.operators import detection
+
+    for rel, seed in (("a.png", 1), ("b.png", 2), ("c.png", 3)):
+        png(tmp_path / "in" / rel, noise(seed, 600))
+
+    def detector(pixels):
+        first = int(pixels[0, 0, 0])
+        if first == int(noise(3, 600)[0, 0, 2]):
+            raise RuntimeError("no model")
+        face = {"bbox": (10, 10, 110.04, 90), "det_score": 0.91234567, "embedding": [1.0, 0.0], "pose": (1.0, 20.0, 3.0)}
+        return [face, face | {"bbox": (0, 0, 5, 5), "det_score": 0.2}] if first == int(noise(1, 600)[0, 0, 2]) else [face | {"embedding": [0.99, 0.1], "pose": None}]
+
+    scan = api.scan_folder(spark, str(tmp_path / "in"), face_config=FaceConfig(enabled=True), detector=detector)
+    got = {r.rel_path: r for r in scan.results.collect()}
+    assert [got[p].face_count for p in ("a.png", "b.png", "c.png")] == [1, 1, 0]
+    assert got["a.png"].faces[0].asDict() == {"bbox": [10.0, 10.0, 100.0, 80.0], "det_score": 0.9123, "cluster_id": "face_1", "primary": True, "yaw": 20.0, "pitch": 1.0, "pose": "three_quarter"}
+    assert got["b.png"].faces[0].pose is None and got["c.png"].faces == []
+    about = scan.summary()
+    assert about["face_clusters"] == [{"cluster_id": "face_1", "size": 2, "representative_rel_path": "a.png", "representative_bbox": [10.0, 10.0, 100.0, 80.0]}]
+    assert about["faces_config"]["enabled"] and detection.pose_of([1, 2]) == (None, None)
+    assert detection.providers("auto", []) == ["CPUExecutionProvider"] and detection.providers("cuda", [])[0].startswith("CUDA")
+    if not detection.available()["insightface"]:
+        with pytest.raises(ImportError):
+            api.scan_folder(spark, str(tmp_path / "in"), face_config=FaceConfig(enabled=True))
+    assert cli.main(["detectors"]) == 0 and "insightface" in capsys.readouterr().out
+
+    # stored scans have their summary: totals stay whatever the page
+    store = ScanStore(spark, str(tmp_path / "store"))
+    api.save(store, scan)
+    page = store.page_with_totals(scan.scan_id, 1, 1)
+    assert (page["total"], page["returned"], page["offset"], page["limit"], page["results"][0]["rel_path"]) == (3, 1, 1, 1, "b.png")
+    assert page["results"] == scan.page(1, 1)["results"] and page["config"]["weight_subject"] == 0.2
+    assert store.page_with_totals(scan.scan_id, 9)["returned"] == 0 and store.page_with_totals("none") is None
+    assert store.scan_ids() == [scan.scan_id] and api.load(store, scan.scan_id).summary() == about
+    request = ExportRequest(scan_id=scan.scan_id)
+    assert api.check_export(store, request, str(tmp_path), str(tmp_path), "out")["total"] == 3
+    for error, bad in ((ValueError, dict(request=ExportRequest(selection=("a.png",)))), (LookupError, dict(request=ExportRequest(scan_id="x"))), (PermissionError, dict(source_root=str(tmp_path / "other"))),
+                       (PermissionError, dict(request=ExportRequest(scan_id=scan.scan_id, mode="move", allow_move=True))), (ValueError, dict(export_root=None)), (PermissionError, dict(destination="../out"))):
+        with pytest.raises(error):
+            api.check_export(store, **({"request": request, "source_root": str(tmp_path), "export_root": str(tmp_path), "destination": "out"} | bad))
+
+    assert cli.main([str(tmp_path / "in"), "--faces", "--no-cluster", "--face-clusters", "face_1", "--min-score", "0", "--csv", str(tmp_path / "r.csv"), "--json", str(tmp_path / "s.json"), "--store", str(tmp_path / "kept"), "-v", "--copy-to", str(tmp_path / "out")], spark, detector) == 0
+    assert (tmp_path / "r.csv").read_text().count("\n") == 4 and len(json.loads((tmp_path / "s.json").read_text())["results"]) == 3
+    assert '"exported": 2' in capsys.readouterr().out and len(ScanStore(spark, str(tmp_path / "kept")).scan_ids()) == 1
+
+
+def test_browse_a_folder(tmp_path):
+    for rel in ("top.png", "B/x.png", "B/sub/y.jpg", "B/.hid/z.webp", "a/notes.txt", ".dot/q.png"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_bytes(b"")
+    got = images.browse_folder(str(tmp_path))
+    assert (got["parent"], got["direct_image_count"]) == (None, 1)
+    assert [(f["name"], f["image_count"], f["subfolder_count"]) for f in got["folders"]] == [("a", 0, 0), ("B", 3, 1)]
+    below = images.browse_folder(str(tmp_path), "B/sub")
+    assert (below["parent"], below["direct_image_count"], below["folders"]) == ("B", 1, []) and images.browse_folder(str(tmp_path), "B")["parent"] == ""
+    with pytest.raises(PermissionError):
+        images.browse_folder(str(tmp_path), "../x")
+    with pytest.raises(NotADirectoryError):
+        images.browse_folder(str(tmp_path), "top.png")
+
+
+def test_wire_schema(spark, tmp_path):
+    import os
+
+    from gleanframe import api, cli, wire
+    from gleanframe.sources import adapter
+
+    golden = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), cli.SCHEMA_PATH)
+    assert not wire.is_stale(golden) and cli.main(["schema", "--check", "--output", golden]) == 0
+    assert cli.main(["schema", "--output", str(tmp_path / "s.json")]) == 0 and not wire.is_stale(str(tmp_path / "s.json"))
+    (tmp_path / "s.json").write_text("{}")
+    assert cli.main(["schema", "--check", "--output", str(tmp_path / "s.json")]) == 1 and wire.is_stale(str(tmp_path / "none.json"))
+    defs = wire.schema()["$defs"]
+    assert {"ScanRequest", "ScanSummary", "ExportRequest", "ExportResult", "ManifestRow"} <= set(defs)
+    # what a scan's page holds is what the schema says
+    page = api.scan_metrics(adapter.metrics(spark, "/root/testdata/sf0.001").drop("embedding", "face_count", "yaw").limit(5)).page(0, 2)
+    assert set(defs["ScanSummary"]["properties"]) == set(page)
+    assert set(defs["ImageResult"]["properties"]) <= set(page["results"][0])
