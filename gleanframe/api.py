@@ -118,8 +118,8 @@ def inside(root: str, path: str) -> str:
 def export_selection(scan: Scan, request: ExportRequest, destination: str, root: str | None = None, report_only: bool = False, progress: Progress | None = None) -> dict:
     """Chooses, transfers, and writes manifest.jsonl and curation_report.csv; a failed file is skipped.
 
-    The choice is written down before any file is touched, so a move can't change it. Files are
-    moved, copied or linked on the driver, once.
+    The choice is written down before any file is touched, so a move can't change it. Executors copy
+    and link; the driver does where progress is listened to, and it alone moves.
     """
     target = os.path.realpath(inside(root, destination) if root else destination)
     decided = checkpointed(plans.export_plan(scan.results, request, scan.config))
@@ -131,7 +131,9 @@ def export_selection(scan: Scan, request: ExportRequest, destination: str, root:
         export.write_report(export.report(decided, None), f"{target}/{REPORT_NAME}")
         return result | {"selected": len(paths), "exported": 0, "copied": 0, "skipped": 0, "exported_paths": {}, "exported_abs_paths": {}}
     plan = checkpointed(chosen.select("ord", "pick_no", "rel_path", "abs_path").join(export.destinations(chosen, request.flatten), "rel_path"))
-    done = export.transfer(plan, target, request.mode, progress)
+    # each file's progress can only be told, and moves made once, by the driver
+    alone = progress is not None or request.mode == "move"
+    done = export.transfer(plan, target, request.mode, progress) if alone else export.transfer_spread(plan, target, request.mode)
     there = [(rel, dest) for rel, dest, error in done if not error]
     exported = decided.sparkSession.createDataFrame(there, "rel_path string, dest string")
     if request.write_manifest:

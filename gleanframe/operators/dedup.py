@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from .ordering import checkpointed, with_row_number
 
 #: Rows up to which all pairs of distinct hashes are compared in one broadcast join.
 SMALL = 20_000
+#: Hashes of a block, where blocks are compared.
+BLOCK = 8192
 #: Near pairs up to which leaders are found in one task.
 SMALL_EDGES = 500_000
 BITS = 64
@@ -30,13 +33,18 @@ def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
 
     Few hashes are compared pair by pair against a broadcast copy, of at most SMALL rows. Otherwise
     multi-index hashing finds candidates: in one of distance // 2 + 1 bands two near hashes differ in
-    a bit at most, so each is looked up under its bands' values and their one-bit neighbours.
+    a bit at most, so each is looked up under its bands' values and their one-bit neighbours. Where
+    the bands are too narrow to tell so many hashes apart, blocks of hashes are compared as arrays.
     """
     h = hashes.select("hash").where("hash is not null").distinct()
-    if h.limit(SMALL + 1).count() <= SMALL:
+    n = h.count()
+    if n <= SMALL:
         other = F.broadcast(h.select(F.col("hash").alias("b")))
         return h.select(F.col("hash").alias("a")).join(other, (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance))
     bands = distance // 2 + 1
+    # candidates of a hash over all bands against the hashes there are
+    if bands * (BITS // bands + 1) * 16 > 1 << (BITS // bands):
+        return _near_by_blocks(h, distance, -(-n // BLOCK))
     edges = [BITS * k // bands for k in range(bands + 1)]
 
     def band(k: int) -> Column:
@@ -44,12 +52,33 @@ def near_pairs(hashes: DataFrame, distance: int) -> DataFrame:
         return F.shiftrightunsigned("hash", edges[k]).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
     own = h.select("hash", F.posexplode(F.array(*[band(k) for k in range(bands)])).alias("band", "value"))
-    flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j) for j in range(edges[k + 1] - edges[k])]) for k in range(bands)])
+    flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j if j < 63 else -(1 << 63)).cast("bigint") for j in range(edges[k + 1] - edges[k])]) for k in range(bands)])
     around = own.withColumn("flip", F.explode(F.get(flips, F.col("band")))).select("band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("hash").alias("b"))
     found = own.withColumnRenamed("hash", "a").join(around, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance))
     return found.select("a", "b").distinct()
 
 
+def _near_by_blocks(h: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """The same by comparing every block of about BLOCK hashes with every other one, once."""
+    dealt = h.withColumn("b", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
+    left = dealt.select(F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"), "hash")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), "hash")
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, q = x["hash"].to_numpy(), y["hash"].to_numpy()
+        found = []
+        for at in range(0, len(p), 512):  # a part of the block at a time bounds the matrix
+            part = p[at : at + 512]
+            close = np.bitwise_count((part[:, None] ^ q[None, :]).view(np.uint64)) <= distance
+            i, j = np.nonzero(close)
+            found.append(np.stack((part[i], q[j])))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.sort(pairs[:, pairs[0] != pairs[1]], axis=0)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "a bigint, b bigint")
+
+
 def greedy_leaders(images: DataFrame, distance: int) -> DataFrame:
     """Adds is_duplicate and duplicate_of to images(ord, rel_path, score, hash, passed).
 

@@ -6,7 +6,7 @@ import csv
 import os
 import shutil
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path, PurePosixPath
 
 import pandas as pd
@@ -66,24 +66,43 @@ def transfer(plan: DataFrame, root: str, mode: str, progress: Callable[[str, int
         progress("transferring", 0, of)
     ranked = [c for c in ("pick_no", "ord") if c in plan.columns]
     for row in plan.orderBy(*ranked, "rel_path").select("rel_path", "abs_path", "dest").toLocalIterator():
-        target = Path(root) / row["dest"]
-        try:
-            if not os.path.isfile(row["abs_path"]):
-                raise FileNotFoundError(row["abs_path"])
-            target.parent.mkdir(parents=True, exist_ok=True)
-            if mode == "symlink":
-                target.unlink(missing_ok=True)
-                target.symlink_to(os.path.realpath(row["abs_path"]))
-            else:
-                (shutil.move if mode == "move" else shutil.copy2)(row["abs_path"], target)
-            done.append((row["rel_path"], row["dest"], ""))
-        except OSError as e:
-            done.append((row["rel_path"], row["dest"], str(e)))
+        done.append((row["rel_path"], row["dest"], _place(row["abs_path"], Path(root) / row["dest"], mode)))
         if progress:
             progress("transferring", len(done), of)
     return done
 
 
+def transfer_spread(plan: DataFrame, root: str, mode: str) -> list[tuple[str, str, str]]:
+    """The same for copies and links, by the executors, which must see both places. What a task that is run again
+    does again leaves the same files; a move would not find its source, so moves stay with transfer()."""
+    if mode not in ("copy", "symlink"):
+        raise ValueError("only copies and links can be made twice")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(r.rel_path, r.dest, _place(r.abs_path, Path(root) / r.dest, mode)) for r in part.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["rel_path", "dest", "error"])
+
+    done = checkpointed(plan.select("rel_path", "abs_path", "dest").mapInPandas(run, "rel_path string, dest string, error string"))
+    return [tuple(r) for r in done.orderBy("rel_path").toLocalIterator()]
+
+
+def _place(source: str, target: Path, mode: str) -> str:
+    """Puts one file there; what went wrong, or nothing."""
+    try:
+        if not os.path.isfile(source):
+            raise FileNotFoundError(source)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        if mode == "symlink":
+            target.unlink(missing_ok=True)
+            target.symlink_to(os.path.realpath(source))
+        else:
+            (shutil.move if mode == "move" else shutil.copy2)(source, target)
+        return ""
+    except OSError as e:
+        return str(e)
+
+
 def manifest(images: DataFrame, exported: DataFrame, profile: TargetProfile, root: str, moved: bool = False) -> DataFrame:
     """One row per file that arrived, in the order of selection: that of the picks under a cap, else of collection. exported has (rel_path, dest)."""
     there = F.concat(F.lit(root.rstrip("/") + "/"), "dest")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import ExportRequest, FaceConfig, ScanConfig, TargetProfile
 from .functions import scoring
 from .operators import dedup, export, faces, selection, summary
-from .operators.ordering import checkpointed, ensure_checkpoint_dir, with_row_number
+from .operators.ordering import checkpointed, shared_path, with_row_number
 from .sources import adapter, images
 from .sources.store import ScanStore
 
@@ -226,6 +225,13 @@ def e7_named_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("cluster_id", "size", F.col("representative_rel_path").alias("representative"))
 
 
+@query(f"WITH RECURSIVE {_FACES} SELECT cluster_id, size, representative, row_number() OVER (ORDER BY size DESC, label) - 1 AS place FROM clusters")
+def e10_cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = faces.cluster_table(faces.named_clusters(_labelled(spark, sf_dir, "leaders")))
+    numbered = with_row_number(table.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "place")
+    return numbered.select("cluster_id", "size", F.col("representative_rel_path").alias("representative"), "place")
+
+
 @query(f"""WITH RECURSIVE {_FACES} SELECT rel_path, count(*) AS face_count, arg_max(cluster_id, struct_pack(a := area * (0.5::DOUBLE + 0.5::DOUBLE * det_score), b := -face_id)) AS primary_face_cluster,
   arg_max(pose, struct_pack(a := area * (0.5::DOUBLE + 0.5::DOUBLE * det_score), b := -face_id)) AS primary_face_pose FROM labelled JOIN clusters USING (label) GROUP BY rel_path""")
 def e9_primary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,12 +324,23 @@ def g5_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL} SELECT ord, similar_group, score FROM grouped ORDER BY ord LIMIT 20 OFFSET 30")
 def g6_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    store = ScanStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    store = ScanStore(spark, shared_path(spark, "store"))
     store.save("a/b", _results(spark, sf_dir).select("ord", "similar_group", "score"))
     return store.load_page("a/b", 30, 20)
 
 
+@query(f"""{_ALL}, totals AS (SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS rejected, count(*) FILTER (passed AND is_duplicate) AS duplicates FROM grouped)
+SELECT page.*, totals.*, (SELECT count(*) FROM sizes WHERE group_size > 1) AS similar_clusters FROM (SELECT ord, similar_group, score FROM grouped ORDER BY ord LIMIT 20 OFFSET 30) page, totals""")
+def g6_page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ScanStore(spark, shared_path(spark, "store"))
+    results = checkpointed(_results(spark, sf_dir))
+    totals = summary.counts(results).first().asDict() | {"similar_clusters": dedup.multi_member_groups(results).first()[0]}
+    store.save("a/b", results.select("ord", "similar_group", "score"), totals)
+    page = store.page_with_totals("a/b", 30, 20)
+    rows = spark.createDataFrame([(r["ord"], r["similar_group"], r["score"]) for r in page["results"]], "ord bigint, similar_group bigint, score double")
+    return rows.withColumns({k: F.lit(page[k]).cast("bigint") for k in totals})
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def g14_label_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
@@ -332,11 +349,12 @@ def g14_label_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- exports ---------------------------------------------------------------------------------
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
-    name = F.concat(F.when(v % 2 == 0, "img_").otherwise("IMG_"), (v % 75).cast("string"), F.lit(".png"))
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(v % 7 < 5).select(F.concat(F.lit("d"), F.floor(v / 75).cast("string"), F.lit("/"), name).alias("rel_path"))
+    number = F.when(v % 7 < 5, v % 75).otherwise(v + 1000)
+    name = F.concat(F.when(v % 2 == 0, "img_").otherwise("IMG_"), number.cast("string"), F.lit(".png"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("d"), F.floor(v / 75).cast("string"), F.lit("/"), name).alias("rel_path"))
 
 
-@query("""WITH p AS (SELECT 'd' || (vec_id // 75) || '/' || CASE WHEN vec_id % 2 = 0 THEN 'img_' ELSE 'IMG_' END || (vec_id % 75) || '.png' AS rel_path FROM embeddings WHERE vec_id % 7 < 5),
+@query("""WITH p AS (SELECT 'd' || (vec_id // 75) || '/' || CASE WHEN vec_id % 2 = 0 THEN 'img_' ELSE 'IMG_' END || CASE WHEN vec_id % 7 < 5 THEN vec_id % 75 ELSE vec_id + 1000 END || '.png' AS rel_path FROM embeddings),
 n AS (SELECT rel_path, split_part(rel_path, '/', 2) AS name FROM p)
 SELECT rel_path, CASE WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN replace(name, '.png', '') || '-' || substr(sha1(rel_path), 1, 8) || '.png' ELSE name END AS dest FROM n""")
 def h1_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +373,21 @@ def h3_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("target_category", F.col("target_profile.target_category")).drop("target_profile")
 
 
+CAPPED = ExportRequest(min_score=0.35, face_clusters=REQUEST.face_clusters, face_poses=REQUEST.face_poses, max_keep=12)
+
+
+@query(f"{_ELIGIBLE}, {_PICKS} SELECT e.rel_path, e.score, p.pick_no::BIGINT - 1 AS line FROM picks p JOIN eligible e USING (ord)")
+def h3_manifest_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = checkpointed(selection.decide(_results(spark, sf_dir), CAPPED, 0.4))
+    rows = export.manifest(decided, _exported(decided), TargetProfile(), "/out")
+    return rows.select("rel_path", "score", F.monotonically_increasing_id().alias("_at")).transform(lambda d: with_row_number(d, ["_at"], "line")).drop("_at")
+
+
+@query(f"{_ELIGIBLE} SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS place FROM eligible")
+def h6_selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.selected_paths(selection.decide(_results(spark, sf_dir), REQUEST, 0.4))
+
+
 @query(f"""{_ELIGIBLE} SELECT rel_path, score, reason IS NULL AS keep, coalesce(reason, '') AS keep_reason, CASE WHEN reason IS NULL THEN rel_path ELSE '' END AS exported_path, similar_group, group_size,
   is_representative, passed, coalesce(reject_reason, '') AS reject_reason, is_duplicate, coalesce(duplicate_of, '') AS duplicate_of, round(sharpness, 2) AS sharpness, round(artifact_score, 4) AS artifact_score, face_count,
   coalesce(primary_face_cluster, '') AS primary_face_cluster, primary_face_pose, yaw AS primary_face_yaw, width, height, '/data/' || rel_path AS abs_path FROM decided""")

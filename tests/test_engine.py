@@ -54,7 +54,7 @@ def leaders(rows, d):
     return out
 
 
-@pytest.mark.parametrize("d, edges", [(-1, 1), (0, 1), (3, 1), (10, 0), (10, 10**6), (64, 10**6)])
+@pytest.mark.parametrize("d, edges", [(-1, 1), (0, 1), (1, 1), (3, 1), (10, 0), (10, 10**6), (64, 10**6)])
 def test_greedy_leaders(spark, d, edges, monkeypatch):
     monkeypatch.setattr(dedup, "SMALL_EDGES", edges)
     rng = random.Random(d)
@@ -65,8 +65,9 @@ def test_greedy_leaders(spark, d, edges, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             h ^= 1 << rng.randrange(64)
         rows.append((k, f"p{k}", rng.choice([0.1, 0.5, 0.5, 0.9]), None if k % 17 == 0 else (h - (1 << 64) if h >> 63 else h), k % 13 != 0))
-    if d == 3:
-        monkeypatch.setattr(dedup, "SMALL", 10)  # the banded join
+    if d in (0, 1, 3) or d == 10 and edges:
+        monkeypatch.setattr(dedup, "SMALL", 10)  # the banded join, or blocks where bands would be narrow
+        monkeypatch.setattr(dedup, "BLOCK", 25)
     got = {r.rel_path: r.duplicate_of for r in dedup.greedy_leaders(spark.createDataFrame(rows, IMAGE), d).collect()}
     assert {k: v for k, v in got.items() if v} == (leaders(rows, d) if d >= 0 else {})
     assert len(got) == len(rows)
