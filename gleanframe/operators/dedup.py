@@ -14,6 +14,8 @@ from .ordering import checkpointed, with_row_number
 SMALL = 20_000
 #: Hashes of a block, where blocks are compared.
 BLOCK = 8192
+#: Rows that one task reads in rank order, as leaders are defined.
+AT_ONCE = 20_000
 #: Near pairs up to which leaders are found in one task.
 SMALL_EDGES = 500_000
 BITS = 64
@@ -91,8 +93,10 @@ def greedy_leaders(images: DataFrame, distance: int) -> DataFrame:
     none = images.withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string")})
     if distance < 0:
         return none
-    ranked = with_row_number(images.where("passed and hash is not null").select("ord", "rel_path", "score", "hash"), [F.col("score").desc(), "ord"], "rank")
-    ranked = checkpointed(ranked)
+    ranked = images.where("passed and hash is not null").select("ord", "rel_path", "score", "hash")
+    if ranked.count() <= AT_ONCE:
+        return _with_duplicates(images, _read_in_order(ranked, distance))
+    ranked = checkpointed(with_row_number(ranked, [F.col("score").desc(), "ord"], "rank"))
     heads = ranked.groupBy("hash").agg(F.min("rank").alias("rank"))
     pairs = near_pairs(heads, distance)
     a, b = heads.select(F.col("hash").alias("a"), F.col("rank").alias("ra")), heads.select(F.col("hash").alias("b"), F.col("rank").alias("rb"))
@@ -102,8 +106,31 @@ def greedy_leaders(images: DataFrame, distance: int) -> DataFrame:
     # a representative leads its equals; a duplicate's equals have its leader
     heads = heads.join(leader, F.col("rank") == F.col("hi"), "left").select("hash", F.coalesce("leader", "rank").alias("leader"))
     names = ranked.select(F.col("rank").alias("leader"), F.col("rel_path").alias("duplicate_of"))
-    found = ranked.join(heads, "hash").where(F.col("rank") != F.col("leader")).join(names, "leader").select("rel_path", "duplicate_of")
-    return images.join(found, "rel_path", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull()).select(*none.columns)
+    return _with_duplicates(images, ranked.join(heads, "hash").where(F.col("rank") != F.col("leader")).join(names, "leader").select("rel_path", "duplicate_of"))
+
+
+def _with_duplicates(images: DataFrame, found: DataFrame) -> DataFrame:
+    marked = images.join(found, "rel_path", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
+    return marked.select(*images.columns, "is_duplicate", "duplicate_of")
+
+
+def _read_in_order(ranked: DataFrame, distance: int) -> DataFrame:
+    """(rel_path, duplicate_of) of at most AT_ONCE rows, read in rank order by one task."""
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["score", "ord"], ascending=[False, True])
+        bits, names = part["hash"].to_numpy().view(np.uint64), part["rel_path"].tolist()
+        reps, order, out = np.zeros(len(part), np.uint64), [], []
+        for k, h in enumerate(bits):
+            near = np.nonzero(np.bitwise_count(reps[: len(order)] ^ h) <= distance)[0]
+            if len(near):
+                out.append((names[k], names[order[near[0]]]))
+            else:
+                reps[len(order)] = h
+                order.append(k)
+        return pd.DataFrame(out, columns=["rel_path", "duplicate_of"], dtype=object)
+
+    return ranked.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "rel_path string, duplicate_of string")
 
 
 def _leaders_at_once(edges: DataFrame) -> DataFrame:

@@ -35,10 +35,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanframe-"))
 
 
+#: Rows that are numbered in one task, after they have been counted.
+FEW = 50_000
+
+
 def with_row_number(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Numbers rows by `order`: range-partitioned sort, a number within each partition, and the sum of the
-    partitions before it. Only one count per partition meets in one place."""
+    partitions before it. Only one count per partition meets in one place. At most FEW rows are numbered by
+    a plain window."""
     cols = df.columns
+    df = checkpointed(df)
+    if df.count() <= FEW:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") + (start - 1))
     placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = checkpointed(placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

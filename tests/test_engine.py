@@ -57,6 +57,8 @@ def leaders(rows, d):
 @pytest.mark.parametrize("d, edges", [(-1, 1), (0, 1), (1, 1), (3, 1), (10, 0), (10, 10**6), (64, 10**6)])
 def test_greedy_leaders(spark, d, edges, monkeypatch):
     monkeypatch.setattr(dedup, "SMALL_EDGES", edges)
+    if d != 64:
+        monkeypatch.setattr(dedup, "AT_ONCE", 0)  # not read in order by one task
     rng = random.Random(d)
     base = [rng.getrandbits(64) for _ in range(6)]
     rows = []
@@ -73,6 +75,27 @@ def test_greedy_leaders(spark, d, edges, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_row_numbers_of_many_rows(spark, monkeypatch):
+    from gleanframe.operators import ordering
+
+    rows = [(k * 7919 % 1009, f"r{k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "x long, name string").repartition(5)
+    want = {name: 3 + k for k, (_, name) in enumerate(sorted(rows))}
+    for few in (50_000, 0):
+        monkeypatch.setattr(ordering, "FEW", few)
+        got = ordering.with_row_number(df, ["x"], "n", 3)
+        assert got.columns == ["x", "name", "n"] and {r.name: r.n for r in got.collect()} == want
+    assert ordering.with_row_number(df.limit(0), ["x"], "n").count() == 0
+
+
+def test_leaders_read_in_order(spark):
+    rng = random.Random(8)
+    rows = [(k, f"p{k}", rng.choice([0.1, 0.5]), None if k % 17 == 0 else rng.getrandbits(12) << 50, k % 13 != 0) for k in range(150)]
+    rows = [(a, b, c, h and (h - (1 << 64) if h >> 63 else h), e) for a, b, c, h, e in rows]
+    got = {r.rel_path: r.duplicate_of for r in dedup.greedy_leaders(spark.createDataFrame(rows, IMAGE), 2).collect()}
+    assert {k: v for k, v in got.items() if v} == leaders(rows, 2) and len(got) == 150
+
+
 def test_groups_are_numbered_by_first_appearance(spark):
     rows = spark.createDataFrame([(0, "a", "c", True), (1, "b", None, False), (2, "c", None, False)], "ord long, rel_path string, duplicate_of string, is_duplicate boolean")
     got = {r.rel_path: (r.similar_group, r.group_size, r.is_representative) for r in dedup.with_groups(rows).collect()}
