@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import mixed
 from .common import connected_components, id_and_text, materialise, tidily
 
 #: Cells that the top of a tree deals fingerprints into: at least so many, one for each CELL_ROWS (or fewer, see
@@ -34,37 +35,60 @@ LEAF_PAIRS = 1 << 21
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """Bit b is set if it is set in over half the XXH64 of the shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of the shingles, repeats included; of the whole sequence if its words are fewer."""
     words = text.encode("utf-8", "surrogatepass").translate(_UPPER).split()
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, stops)]
-    bits = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8")
-    for at in range(0, len(values), 1 << 16):
-        bits += np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(values), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, text_key): fp is the unsigned fingerprint's bit pattern as a signed long; text_key is a hash of the text."""
+        return np.array([xxhash.xxh64_intdigest(line, seed)] if words else [], dtype="<u8")
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+_ONES = np.uint64(0x0101010101010101)
+_STEP = 0x9E3779B97F4A7C15
+
+
+def simhashes(hashes: np.ndarray, families: int = 1) -> np.ndarray:
+    """A fingerprint for each family: bit b is set if it is set in over half the hashes. The first family takes the
+    hashes as they are, the others scramble them, each in its own way."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(families, np.uint64)
+    counts = np.zeros((families, 64), np.int64)
+    for at in range(0, n, 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        rows = np.stack([part, *[mixed(part + np.uint64(_STEP * k & (1 << 64) - 1)) for k in range(1, families)]])
+        # eight counters of a byte each in a number: up to 255 hashes are added before the counters are read
+        lots = np.arange(0, len(part), 255)
+        for bit in range(8):
+            sums = np.add.reduceat((rows >> np.uint64(bit)) & _ONES, lots, axis=1)
+            counts[:, bit::8] += sums.view(np.uint8).reshape(families, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").reshape(families)
+
+
+def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """The first family's fingerprint; zero of no words."""
+    return int(simhashes(shingle_hashes(text, shingle, seed))[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, families: int = 1) -> DataFrame:
+    """(doc_id, fp, more, text_key): fp is the unsigned fingerprint's bit pattern as a signed long, more has those of
+    further families; text_key is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_key"])
+            if not batch.num_rows:
+                continue
+            fps = np.stack([simhashes(shingle_hashes(t, shingle), families) for t in batch.column(1).to_pylist()]).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (families - 1), pa.int32()), pa.array(fps[:, 1:].ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps[:, 0].copy(), pa.int64()), more, batch.column(2)], ["doc_id", "fp", "more", "text_key"])
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(tidily(run), "doc_id bigint, fp bigint, text_key bigint")
+    return keyed.mapInArrow(tidily(run), "doc_id bigint, fp bigint, more array<bigint>, text_key bigint")
 
 
 class Tree:
@@ -186,34 +210,39 @@ def parts_of(limit: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, limit: int = 4, seed: int = 7) -> DataFrame:
-    """(u, v) over distinct fingerprints: a spanning forest of all pairs within `limit` bits.
-
-    prints: one column fp, distinct. There is a tree for each part of the bits, with that part's
-    radius. The tops of the trees come from a sample that grows with the input, up to MOST_CELLS;
-    every fingerprint goes to its own cell as a member and, as a query, to each cell at a boundary
-    within the radius. Cells are as many as the fingerprints ask for, so a cell's rows stay alike. A
-    task compares a cell's members and queries and sends on a forest of what it found, one link a
-    row at most and never all pairs of a group.
+    """(u, v) over nodes: a spanning forest of all pairs of rows of a family whose fingerprints are within `limit` bits.
+
+    prints: (node, family, fp), distinct; or one column fp, which is then the node. There is a tree for
+    each part of the bits, with that part's radius. The tops of the trees come from a sample that
+    grows with the input, up to MOST_CELLS; every fingerprint goes to its own cell as a member and, as
+    a query, to each cell at a boundary within the radius. Cells are as many as the fingerprints of a
+    family ask for, so a cell's rows stay alike. A task compares a cell's members and queries and
+    sends on a forest of what it found, one link a row at most and never all pairs of a group.
     """
     spark = prints.sparkSession
-    n = prints.count()
+    if "node" not in prints.columns:
+        prints = prints.select(F.col("fp").alias("node"), F.lit(0).alias("family"), "fp")
+    n = prints.where("family = 0").count()
     many = {r: min(MOST_CELLS, max(CELLS, n // (CELL_ROWS if r else CELL_ROWS // 5))) for r in (0, 1)}
     share = min(1.0, SAMPLE_PER_CELL * max(many.values()) / max(1, n))
-    sample = prints.where(F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    sample = np.sort(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64))
+    sample = prints.where((F.col("family") == 0) & (F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20))))
+    sample = np.sort(np.array([r[0] for r in sample.select("fp").collect()], dtype=np.int64).view(np.uint64))
     trees = [Tree(mask, radius, sample, many[min(1, radius)]) for mask, radius in parts_of(limit)]
 
     def place(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            nodes, families, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             values = fps.view(np.uint64)
             for t, tree in enumerate(trees):
                 if wide and not tree.radius:
                     continue  # a query's only cell is its own
                 rows, cells = tree.route(values, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t), pa.int32()), pa.array(cells, pa.int32()), pa.array(fps[rows], pa.int64())], ["tree", "cell", "fp"])
+                # the families' cells are numbered apart
+                cells = cells + families[rows].astype(np.int64) * tree.cells
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t), pa.int32()), pa.array(cells, pa.int32()), pa.array(nodes[rows], pa.int64()), pa.array(fps[rows], pa.int64())], ["tree", "cell", "node", "fp"])
 
-    schema = "tree int, cell int, fp bigint"
+    schema = "tree int, cell int, node bigint, fp bigint"
+    prints = prints.select("node", "family", "fp")
     homes = prints.mapInArrow(lambda b: place(b, False), schema)
     visits = prints.mapInArrow(lambda b: place(b, True), schema)
     # rows per cell: as many counts as there are cells
@@ -231,35 +260,42 @@ def links(prints: DataFrame, limit: int = 4, seed: int = 7) -> DataFrame:
     at_home = homes.join(F.broadcast(cells), ["tree", "cell"])
     members = at_home.select(
         "tree", "cell", F.pmod(salt, "m_blocks").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"),
-        F.when(F.col("single"), F.lit(EITHER)).otherwise(F.lit(MEMBER)).alias("role"), "fp",
+        F.when(F.col("single"), F.lit(EITHER)).otherwise(F.lit(MEMBER)).alias("role"), "node", "fp",
     )
     asking = at_home.where("own and not single").unionByName(visits.join(F.broadcast(cells), ["tree", "cell"]))
-    queries = asking.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"), F.pmod(salt, "q_blocks").cast("int").alias("q"), F.lit(QUERY).alias("role"), "fp")
+    queries = asking.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"), F.pmod(salt, "q_blocks").cast("int").alias("q"), F.lit(QUERY).alias("role"), "node", "fp")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         values, role = group["fp"].to_numpy().view(np.uint64), group["role"].to_numpy()
         member, query = role != QUERY, role != MEMBER
-        nodes, at = np.unique(values, return_inverse=True)
+        nodes, at = np.unique(group["node"].to_numpy(), return_inverse=True)
         parent = np.arange(len(nodes))
         tree = trees[int(group["tree"].iloc[0])]
         join_cell(values[member], values[query], tree.mask, tree.radius, limit, parent, at[member], at[query], np.random.default_rng(seed))
         roots = _find(parent, np.arange(len(nodes)))
         hang = roots != np.arange(len(nodes))
-        return pd.DataFrame({"u": nodes[hang].view(np.int64), "v": nodes[roots[hang]].view(np.int64)})
+        return pd.DataFrame({"u": nodes[hang], "v": nodes[roots[hang]]})
 
     return members.unionByName(queries).groupBy("tree", "cell", "m", "q").applyInPandas(compare, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4, families: int = 1) -> DataFrame:
     """(doc_id, fp, text_key, component_id): component_id is the least id that can be reached over links.
 
+    With several families of hashes, documents link if they do in any of them: one fingerprint of 64
+    bits is a coarse measure of how alike two texts are, and each further family is another draw.
+
     Equal fingerprints are joined first and count once in everything that follows; only linked ones
     meet in components. A fingerprint with more than 1/1024 of all rows is one of fewer than 1024,
     which are broadcast; the rows of all others meet their component in a sort-merge join.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle, families), "prints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    parts = connected_components(links(classes.select("fp"), limit))
+    prints = classes.select(F.col("fp").alias("node"), F.lit(0).alias("family"), "fp")
+    if families > 1:
+        others = rows.select(F.col("fp").alias("node"), F.posexplode("more").alias("family", "fp"))
+        prints = materialise(prints.unionByName(others.select("node", F.col("family") + 1, "fp").toDF("node", "family", "fp").distinct()), "families")
+    parts = connected_components(links(prints, limit))
     linked = materialise(classes.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "least", "component"), "linked")
     # written first, so that both sides of the join come straight from exchanges and a large component's rows can be split
     least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")

@@ -292,6 +292,35 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("families", [2, 5])
+def test_families_of_fingerprints(spark, docs, rows, families):
+    texts = [t for _, t in pairs(rows)]
+    prints = [simhash.simhashes(simhash.shingle_hashes(t, 5), families).tolist() for t in texts]
+    assert [p[0] for p in prints] == [simhash.simhash(t, 5) for t in texts]
+    # linked in one family or another
+    roots = [classes([p[k] for p in prints], 4) for k in range(families)]
+    part = list(range(len(texts)))
+    for _ in texts:
+        for own in roots:
+            least = {}
+            for x, r in enumerate(own):
+                least[r] = min(least.get(r, part[x]), part[x])
+            part = [least[r] for r in own]
+    least = {}
+    for (i, _), r in zip(pairs(rows), part):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    got = simhash.near_duplicates(docs, shingle=5, families=families).collect()
+    assert ordered((r.doc_id, r.component_id) for r in got) == ordered((i, least.get(r)) for (i, _), r in zip(pairs(rows), part))
+
+
+def test_bits_are_counted_in_lots():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 254, 255, 256, 5000, 40_000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        assert int(simhash.simhashes(h)[0]) == sum(1 << b for b in range(64) if int((h >> np.uint64(b) & np.uint64(1)).sum()) * 2 > n)
+
+
 def test_vantage_point_join_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_PAIRS", 64)
     monkeypatch.setattr(simhash, "CELL_ROWS", 50)
