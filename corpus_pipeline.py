@@ -2,7 +2,9 @@
 
 toxicity -> exact dedup -> SimHash near-dedup -> suffix-array dedup -> best-fit packing. Each stage
 takes (spark, docs, sf_dir); all but the last return the columns of documents. Rows that repeat an
-id and a text count as copies of one another, and one of them stays.
+id and a text count as copies of one another, and one of them stays. Null texts count as empty ones, of
+which one row stays, and have no repeats; null ids lose to others among equal texts. Very long texts pass
+whole through every stage. Extra columns of documents are carried up to the last stage; a table without rows stays one.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from gleanframe.llm.exact_dedup import DigestIndex, exact_dedup
 from gleanframe.llm.packing import pack
 
 
+#: Families of fingerprints of the near-duplicate stage.
+FAMILIES = 16
+
+
 def _only(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     """The rows of docs that kept (doc_id, key) names, one for each; texts are shuffled once."""
     named = docs.withColumn("_key", key)
@@ -40,8 +46,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that fingerprints link the one with the least id stays."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each group of documents that fingerprints link the one with the least id stays.
+
+    Shingles have five words. Texts of similarity 0.8 differ in about 10 of 64 bits, which no tree can
+    search for, so documents link if in any of FAMILIES families they differ in 4 bits at most.
+    """
+    found = simhash.near_duplicates(docs, shingle=5, families=FAMILIES).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _only(docs, found.select("doc_id", F.col("text_key").alias("key")), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
