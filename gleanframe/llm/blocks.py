@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import remember, scratch_path
 
-ROWS_PER_BLOCK = 256
-#: Bytes of a text from which on it is a block of its own, so that a block has 256 times as many at most, or one text.
+ROWS_PER_BLOCK = 1024
+#: Bytes of a text from which on it is a block of its own, so that a block has ROWS_PER_BLOCK times as many at most, or one text.
 OWN_BLOCK = 1 << 16
 #: Stands for a null id, so that it is larger than any other.
 NO_ID = (1 << 63) - 1
@@ -26,7 +26,7 @@ NO_ID = (1 << 63) - 1
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(block, row, slot, doc_id, text, rest), written once to a table bucketed by block, without a shuffle.
 
-    Blocks are runs of rows of a scan partition, but for long texts, which are blocks of their own;
+    Blocks are runs of ROWS_PER_BLOCK rows of a scan partition, but for long texts, which are blocks of their own;
     slot is a row's number in its block. The later passes group and cogroup by block on
     the buckets as they lie, so texts never go through an exchange. rest has the carried columns.
     """
@@ -41,6 +41,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str,
         F.when(long, F.lit(0)).otherwise(F.col("row") % ROWS_PER_BLOCK).cast("int").alias("slot"), "doc_id", "text", "rest",
     )
     rows.write.bucketBy(buckets, "block").format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    remember(table=name)
     return spark.table(name)
 
 

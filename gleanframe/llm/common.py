@@ -27,15 +27,50 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: What this driver has written besides results, in order: folders and tables.
+_MADE: list[tuple[str | None, str | None]] = []
+
+
+def remember(path: str | None = None, table: str | None = None) -> None:
+    _MADE.append((path, table))
+
+
+def made() -> int:
+    """How many things have been written so far, for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the folders and tables written after the first `since`, but for the folder `keep`.
+
+    Results are lazy: call it only when all that was made of them has been written elsewhere.
+    """
+    gone, _MADE[since:] = _MADE[since:], [m for m in _MADE[since:] if m[0] and m[0] == keep]
+    jvm = spark._jvm
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        elif path != keep:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    remember(path)
+    return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read back, and where."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, tag)[0]
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remember
 
 
 class DigestIndex:
@@ -22,7 +22,7 @@ class DigestIndex:
 
     New digests are found by a sort-merge anti-join that reads the index in place (its side has
     no exchange, being bucketed by the join key) and are appended; those it knows are appended as
-    further counts (first is false). A batch is reduced to one row per digest by a combined aggregate
+    further counts (first is false). An index without a name is scratch. A batch is reduced to one row per digest by a combined aggregate
     before it meets the index, so a group of copies of any size adds one row to the join.
     """
 
@@ -34,6 +34,9 @@ class DigestIndex:
             f"CLUSTERED BY (sha256) SORTED BY (sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+        if name is None:
+            remember(table=self.name)
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -636,3 +636,44 @@ def test_views_teach_each_other():
     x, m = y[:, None] + rng.normal(0, 0.6, (2000, 3)), y[:, None] + rng.normal(0, 0.6, (2000, 2))
     model = cotrain.cotrain(x[:200], m[:200], y[:200], x[200:1500], m[200:1500])
     assert ((model.scores(x[1500:], m[1500:])[2] >= 0.5) == y[1500:]).mean() > 0.93
+
+
+def test_texts_of_megabytes(spark):
+    """One text twice, one with it inside, one of one endless word; every operator takes them whole."""
+    import sentencepiece
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    long = " ".join(rng.choice(words) for _ in range(330_000))
+    assert len(long) > 2_000_000
+    texts = {1: long, 2: long, 3: "before it " + long[:1_500_000] + "\nbehind it", 4: "xy" * 600_000, 5: "short and fine"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    n = {i: len(t.split()) for i, t in texts.items()}
+
+    exact = {r.doc_id: r.keep_id for r in exact_dedup(docs, DigestIndex(spark, common.scratch_path(spark, "index"), 4)).collect()}
+    assert exact == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5}
+    rlz = {r.doc_id: r for r in rlz_dedup.dedup_spans(docs).collect()}
+    inside = len(long[:1_500_000].split())
+    assert {i: r.n_words for i, r in rlz.items()} == n and [rlz[i].n_removed for i in (1, 2, 4, 5)] == [0, n[2], 0, 0]
+    assert inside - 1 <= rlz[3].n_removed <= inside and len(rlz[2].factors) == 1 and rlz[3].factors[0].source_start == 0
+    spans = {r.doc_id: r for r in suffix_dedup.dedup_spans(docs, seek=200).collect()}
+    assert [spans[i].n_removed for i in (1, 2, 4, 5)] == [len(long), len(long), len(texts[4]), 0]
+    assert 1_500_000 <= spans[3].n_removed < 1_500_010 and len(spans[3].spans) == 1
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = bpe.BpeIds(path, False).whole
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs, path).collect()}
+    assert all(r.n_tokens == len(whole.encode(texts[i], add_special_tokens=False).ids) for i, r in got.items()) and got[1].n_chunks > 20
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    whole = bpe.BpeIds(public_tokenizers.path("word_bpe_49k.json"), True).whole
+    assert all(sum(r.length for r in packed if r.doc_id == i) == len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items())
+    near = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert near[2].component_id == 1 and all(r.fp & (1 << 64) - 1 == sim(texts[i]) for i, r in near.items() if i != 1)
+    prints = {r.doc_id: r for r in minhash.edited_fingerprints(docs).collect()}
+    assert prints[1].fingerprint == prints[2].fingerprint == one_permutation(long) and prints[2].near_next == 1.0
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    parts = docs.where("doc_id in (1, 5)")
+    assert all(list(array("I", bytes(r.ids))) == library.encode(texts[r.doc_id]) for r in wfst.encode(parts, model).collect())
+    labels = spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).where("score between 0 and 1").count() == 5
+    assert cotrain.score(docs, cotrain.fit(docs, labels)).where("score between 0 and 1").count() == 5

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from gleanframe.llm import bpe, queries, simhash, toxicity
+from gleanframe.llm import bpe, common, queries, simhash, toxicity
 from gleanframe.llm.common import materialise
 
 from .test_operators import repeated
@@ -88,8 +88,11 @@ def test_pipeline_stages(spark):
             assert {r.doc_id: r.text for r in rows} == want
         if name == "best_fit_packing":
             packed_whole(before, rows)
-    # run() is these stages one after the other
-    again = corpus_pipeline.run(spark, DIR).collect()
+    # run() is these stages one after the other; it leaves nothing but its result
+    before_run = common.made()
+    again = corpus_pipeline.run(spark, DIR)
+    assert common.made() == before_run + 1
+    again = again.collect()
     assert pieces(again) == pieces(rows)
     packed_whole(before, again)
     assert seen["toxicity"] >= seen["exact_dedup"] >= seen["simhash_near_dedup"] == seen["suffix_array_dedup"] == seen["best_fit_packing"] > N * 0.6
