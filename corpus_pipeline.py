@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm import simhash, suffix_dedup, toxicity
-from gleanframe.llm.common import materialise, scratch_path
+from gleanframe.llm.common import made, release, scratch_path, written
 from gleanframe.llm.exact_dedup import DigestIndex, exact_dedup
 from gleanframe.llm.packing import pack
 
@@ -82,9 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's output is written; what was written on the way to it, and the output before it, go."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, begun, path)
     return docs
 
 
