@@ -17,6 +17,7 @@ from .operators.ordering import checkpointed
 from .plans import scan as plans
 from .sources import images
 from .sources.images import within
+from .service import post_manifest, watched
 from .sources.store import ScanStore
 
 Progress = Callable[[str, int, int], None]
@@ -66,14 +67,14 @@ class Scan:
 
 def _scan(files: DataFrame, pixels: DataFrame, profile, config, face_config, folder, scan_id, detector, detections, tell: Progress) -> Scan:
     total = files.count()
-    tell("scoring", 0, total)
-    metrics = plans.measured(files, pixels, config)
-    tell("scoring", total, total)
+    with watched(files.sparkSession, tell, "scoring", total):
+        metrics = plans.measured(files, pixels, config)
     if face_config.enabled and detections is None:
         # only images that pass the gates are looked at
         gated = plans.with_gates(metrics, config).where("passed").select("rel_path")
         seen = pixels.join(gated, "rel_path", "left_semi")
-        detections = checkpointed(detection.detect(seen, files.select("rel_path", "ord"), detector or detection.default_detector(face_config)))
+        with watched(files.sparkSession, tell, "faces", gated.count()):
+            detections = checkpointed(detection.detect(seen, files.select("rel_path", "ord"), detector or detection.default_detector(face_config)))
     results, clusters = plans.scan_with_faces(metrics, profile, config, face_config, detections, tell)
     return Scan(scan_id or uuid.uuid4().hex, folder, profile, config, results, face_config, clusters)
 
@@ -143,6 +144,7 @@ def export_selection(scan: Scan, request: ExportRequest, destination: str, root:
             f.writelines(r.value + "\n" for r in export.manifest_lines(rows).toLocalIterator())
         export.write_report(export.report(decided, exported), f"{target}/{REPORT_NAME}")
         result["manifest_path"] = f"{target}/{MANIFEST_NAME}"
+        result["captioned"] = bool(request.caption_url) and post_manifest(result["manifest_path"], request.caption_url)
     counts = export.export_result(decided, exported, len(done) - len(there)).first().asDict()
     return result | counts | {"copied": len(there), "exported_paths": dict(sorted(there)), "exported_abs_paths": {rel: f"{target}/{dest}" for rel, dest in sorted(there)}}
 
@@ -180,6 +182,11 @@ def load(store: ScanStore, scan_id: str) -> Scan | None:
     return Scan(about["scan_id"], about["folder"], TargetProfile(**about["target_profile"]), ScanConfig(**about["config"]), results, FaceConfig(**about["faces_config"]), clusters)
 
 
+def health() -> dict:
+    """Whether the engine answers, and what it finds installed."""
+    return {"status": "ok", "manifest_version": MANIFEST_VERSION, "detectors": detection.available()}
+
+
 def pose_counts(scan: Scan) -> dict[str, int]:
     return {r.primary_face_pose: r.n for r in summary.pose_distribution(scan.results).collect()}
 

@@ -76,6 +76,8 @@ class ExportRequest:
     mode: str = "copy"
     allow_move: bool = False
     write_manifest: bool = True
+    #: Where the manifest is sent once it is written.
+    caption_url: str | None = None
     #: Which stored scan the export is of.
     scan_id: str | None = None
 

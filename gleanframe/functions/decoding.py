@@ -90,3 +90,47 @@ def _png(content: bytes) -> np.ndarray | None:
     elif colour in (4, 6):
         pixels = pixels[..., :-1]
     return np.ascontiguousarray(pixels[..., ::-1])
+
+
+def _means(x: np.ndarray, axis: int, size: int) -> np.ndarray:
+    """x with `size` entries along an axis, each the mean of the part it stands for; entries at a border count by their share."""
+    n = x.shape[axis]
+    sums = np.concatenate((np.zeros_like(x.take([0], axis)), np.cumsum(x, axis=axis)), axis=axis)
+    at = np.arange(size + 1) * n / size
+    low = np.minimum(at.astype(int), n - 1)
+    shape = [-1 if k == axis else 1 for k in range(x.ndim)]
+    up_to = sums.take(low, axis) + x.take(low, axis) * (at - low).reshape(shape)
+    return np.diff(up_to, axis=axis) * size / n
+
+
+def fitted(pixels: np.ndarray, side: int) -> np.ndarray:
+    """Pixels that fit a square of `side`, in proportion; smaller ones stay as they are. Alpha is left out."""
+    pixels = pixels[..., :3] if pixels.shape[2] >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
+    h, w, _ = pixels.shape
+    scale = side / max(h, w)
+    if scale >= 1:
+        return np.ascontiguousarray(pixels)
+    small = _means(_means(pixels.astype(np.float64), 0, max(1, round(h * scale))), 1, max(1, round(w * scale)))
+    return np.clip(np.rint(small), 0, 255).astype(np.uint8)
+
+
+def encoded(pixels: np.ndarray) -> tuple[bytes, str]:
+    """(content, media type) of (height, width, 3) bytes, blue first."""
+    rgb = np.ascontiguousarray(pixels[..., ::-1])
+    try:
+        from PIL import Image
+    except ImportError:
+        return _as_png(rgb), "image/png"
+    Image.fromarray(rgb).save(out := io.BytesIO(), format="WEBP", quality=80)
+    return out.getvalue(), "image/webp"
+
+
+def _as_png(rgb: np.ndarray) -> bytes:
+    h, w, _ = rgb.shape
+    lines = np.concatenate((np.zeros((h, 1), np.uint8), rgb.reshape(h, w * 3)), axis=1).tobytes()
+
+    def chunk(kind: bytes, value: bytes) -> bytes:
+        return struct.pack(">I", len(value)) + kind + value + struct.pack(">I", zlib.crc32(kind + value))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")

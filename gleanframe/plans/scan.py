@@ -35,15 +35,12 @@ def scan_with_faces(
     none = {c: F.lit(None).cast(t) for c, t in (("primary_face_cluster", "string"), ("primary_face_pose", "string"), ("primary_face_yaw", "double"))}
     if face_cfg.enabled and detections is not None:
         found = faces.valid_faces(detections.join(rows.where("passed").select("rel_path"), "rel_path", "left_semi"), face_cfg)
-        found = checkpointed(found)
-        progress("faces", 0, 1)
         labelled = checkpointed(faces.identities(found, face_cfg.cluster_eps))
         names = checkpointed(faces.named_clusters(labelled))
         clusters = faces.cluster_table(names)
         named = labelled.join(names.select("label", "cluster_id"), "label")
         per_image = faces.primary_faces(named).join(faces.faces_per_image(named), "rel_path")
         rows = rows.drop("face_count").join(per_image, "rel_path", "left").withColumn("face_count", F.coalesce("face_count", F.lit(0)))
-        progress("faces", 1, 1)
     else:
         rows = rows.withColumns(none | {"faces": F.lit(None).cast(faces.FACES_TYPE)})
     rows = rows.withColumns({"faces": F.coalesce(F.col("faces"), F.array().cast(faces.FACES_TYPE)), "phash": F.coalesce(dedup.hex_hash(F.col("hash")), F.lit(""))})
