@@ -214,7 +214,24 @@ def e6_first_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir, "leaders").select("face_id", "label")
 
 
-@query()
+# distances between clusters, their sizes, and each face's cluster: a step merges the two nearest ones
+_LINKAGE = f"""{_FACES.split("walk AS (")[0].rstrip().rstrip(",")},
+matrix AS (SELECT a.rk, list(CASE WHEN a.rk = b.rk THEN 'infinity'::DOUBLE ELSE 1.0::DOUBLE - list_inner_product(a.v, b.v) END ORDER BY b.rk) AS r FROM unit a CROSS JOIN unit b GROUP BY a.rk),
+linkage AS (
+  SELECT 0 AS step, (SELECT list(r ORDER BY rk) FROM matrix) AS d, (SELECT list(1.0::DOUBLE ORDER BY rk) FROM unit) AS size, (SELECT list(rk ORDER BY rk) FROM unit) AS label
+  UNION ALL
+  SELECT step + 1,
+    list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i = b THEN gone WHEN i = a THEN merged ELSE list_transform(d[i], lambda x, j: CASE WHEN j = a THEN merged[i] WHEN j = b THEN 'infinity'::DOUBLE ELSE x END) END),
+    list_transform(size, lambda s, j: CASE WHEN j = a THEN size[a] + size[b] ELSE s END), list_transform(label, lambda l: CASE WHEN l = b THEN a ELSE l END)
+  FROM (SELECT *, list_transform(d[a], lambda x: 'infinity'::DOUBLE) AS gone,
+          list_transform(d[a], lambda x, j: CASE WHEN j = a OR j = b THEN 'infinity'::DOUBLE ELSE (x * size[a] + d[b][j] * size[b]) / (size[a] + size[b]) END) AS merged
+        FROM (SELECT *, list_position(d[a], m) AS b FROM (SELECT *, list_position(mins, m) AS a FROM (SELECT *, list_min(mins) AS m FROM (SELECT *, list_transform(d, lambda r: list_min(r)) AS mins FROM linkage))))
+        WHERE m < 0.72)),
+last AS (SELECT label FROM linkage ORDER BY step DESC LIMIT 1),
+found AS (SELECT unnest(label) AS l, unnest(range(1, len(label) + 1)) AS rk FROM last)"""
+
+
+@query(f"WITH RECURSIVE {_LINKAGE} SELECT u.face_id, f.face_id AS label FROM found JOIN unit u USING (rk) JOIN unit f ON f.rk = found.l")
 def e6_average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir, "average").select("face_id", "label")
 
