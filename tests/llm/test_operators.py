@@ -160,6 +160,15 @@ def test_packing(docs, rows, none, lot, monkeypatch):
     assert packing.pack(none, path).count() == 0
 
 
+def test_bins_that_are_filled_alike_do_not_travel(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    # bins of one long text each, which nothing but the last short text fits into
+    docs = spark.createDataFrame([(k, "a " * 300) for k in range(400)] + [(1000, "a " * 150)], "doc_id long, text string").repartition(12)
+    got = packing.pack(docs, path, capacity=512).collect()
+    assert len({r.sequence_id for r in got}) == 400
+    assert packing.still_open([500, 301, 301, 151, 301, 151], 496) == [False, True, False, True, False, False]
+
+
 def test_best_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
