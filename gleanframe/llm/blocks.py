@@ -45,6 +45,12 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str,
     return spark.table(name)
 
 
+def enough_buckets(table: DataFrame) -> int:
+    """Groups that keys are dealt into: one for about 512 documents, and four for each partition, so that common keys
+    that fall into one partition are few."""
+    return max(4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // 512)
+
+
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

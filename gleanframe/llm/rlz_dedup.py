@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, covered, found, mixed, runs, window_min, write_blocks
+from .blocks import NO_ID, covered, enough_buckets, found, mixed, runs, window_min, write_blocks
 from .common import tidy
 
 ANCHOR_WORDS = 5
@@ -166,7 +166,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     anchor = min(ANCHOR_WORDS, window)
     table = write_blocks(docs, id_col, text_col)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // 512)
+    buckets = enough_buckets(table)
 
     def anchors_of(part: pa.Table) -> pa.Table:
         ids = _ids(part)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import covered, found, mixed, runs, window_min, write_blocks
+from .blocks import covered, enough_buckets, found, mixed, runs, window_min, write_blocks
 from .common import materialise, tidy
 
 #: Bytes of an anchor, in hundredths of the shortest repeat that is looked for.
@@ -256,8 +256,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchor = min(anchor or max(1, seek * ANCHOR_SHARE // 100), seek)
     width = min(SLICE, seek)
     table = write_blocks(docs, id_col, text_col, carry)
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // 512)
+    buckets = enough_buckets(table)
 
     def anchors_of(part: pa.Table) -> pa.Table:
         keys, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
