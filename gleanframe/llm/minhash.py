@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
-#: Bytes of text that a range of ids holds, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of text that a range of ids holds, about; with more than MOST_RANGES such ranges they hold more.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 14
 #: Hashed attempts to fill an empty bin before the exact choice among the bins that are not empty.
 ATTEMPTS = 6
 
@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", ranges:
     """
     if not ranges:
         size = docs.agg(F.sum(sum((F.octet_length(c) for c in cols if docs.schema[c].dataType.typeName() == "string"), F.lit(0)).cast("bigint"))).first()[0] or 0
-        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-size // RANGE_BYTES)))
     share = [k / ranges for k in range(1, ranges)] + [1.0]
     bounds = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)), max(10_000, 8 * ranges)).alias("b"), F.max(id_col).alias("top")).first()
     known = sorted({*(bounds["b"] or []), *([bounds["top"]] if bounds["top"] is not None else [])})
