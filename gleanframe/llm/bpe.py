@@ -73,15 +73,21 @@ class BpeIds:
         self.pattern = WORD_PATTERN if lower else BYTE_PATTERN
         letters = byte_letters()
         self.table = [letters[b] for b in range(256)]
-        self.plain = Memo(self._plain)
+        self.plain = Memo(self._plain, 2 * NO_WORDS)
         self.words = Memo(self._word)
 
     def _plain(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join([self.table[b] for b in word.encode()]))]).tobytes()
+        if word.isascii() and word.isprintable():  # all but the space stand for themselves
+            letters = word.replace(" ", self.table[32])
+        else:
+            letters = "".join([self.table[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if "<|" in word or ODD.search(word):
             return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        if not self.lower and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # one match of the pattern
+            return self._plain(word)
         return b"".join([self.plain[w] for w in self.pattern.findall(word.lower() if self.lower else word)])
 
     def forget(self) -> None:
@@ -89,16 +95,13 @@ class BpeIds:
             memo.clear()
             memo.old = {}
 
-    def cut(self, text: str) -> list[str]:
-        if not self.lower:
-            return SEGMENT.findall(text)
-        if ODD.search(text):
-            return SPLIT.findall(text)
-        return text.lower().split() if "<|" not in text else text.split()
-
     def ids(self, text: str) -> bytes:
+        if self.lower and "<|" not in text and not ODD.search(text):
+            # matches hold no white space, so they are the same in a text as in its words
+            plain = self.plain
+            return b"".join([plain[w] for w in self.pattern.findall(text.lower())])
         words = self.words
-        return b"".join([words[w] for w in self.cut(text)])
+        return b"".join([words[w] for w in (SPLIT if self.lower else SEGMENT).findall(text)])
 
 
 _LOADED: dict[tuple[str, bool], BpeIds] = {}
