@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import remember, scratch_path
 
-ROWS_PER_BLOCK = 1024
+ROWS_PER_BLOCK = 512
 #: Bytes of a text from which on it is a block of its own, so that a block has ROWS_PER_BLOCK times as many at most, or one text.
 OWN_BLOCK = 1 << 16
 #: Stands for a null id, so that it is larger than any other.
