@@ -125,7 +125,8 @@ def d0_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapter.metrics(spark, sf_dir).select("ord", "hash")
     pairs = dedup.near_pairs(rows, 20)
     a, b = rows.select(F.col("ord").alias("x"), F.col("hash").alias("a")), rows.select(F.col("ord").alias("y"), F.col("hash").alias("b"))
-    found = pairs.join(a, "a").join(b, "b")
+    # near_pairs has distinct hashes, so rows of one hash meet in a join of their own
+    found = pairs.join(a, "a").join(b, "b").where("x <> y").unionByName(a.join(b, F.col("a") == F.col("b")).where("x < y"))
     return found.select(F.least("x", "y").alias("a_ord"), F.greatest("x", "y").alias("b_ord"), dedup.hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
