@@ -14,6 +14,10 @@ from .ordering import checkpointed, with_row_number
 
 
 NO_FACE = (1 << 63) - 1
+#: Faces up to which average linkage holds the matrix of all pairs.
+SMALL = 2048
+#: Rows of distances that are held at a time beyond that.
+ROWS_AT_ONCE = 64
 
 
 def valid_faces(detections: DataFrame, cfg: FaceConfig) -> DataFrame:
@@ -41,8 +45,13 @@ def centrality(x: Column, y: Column, w: Column, h: Column, width: Column, height
 
 
 def average_linkage(vectors: np.ndarray, eps: float) -> np.ndarray:
-    """Labels (by first member) of average-linkage clusters, merged while the least mean cosine distance is below eps."""
+    """Labels (by first member) of average-linkage clusters, merged while the least mean cosine distance is below eps.
+
+    At most SMALL faces are merged by a matrix of all distances, any more by the clusters' means.
+    """
     n = len(vectors)
+    if n > SMALL:
+        return linkage_of_means(vectors, eps)
     d = 1.0 - vectors @ vectors.T
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(n), np.arange(n)
@@ -74,6 +83,79 @@ def average_linkage(vectors: np.ndarray, eps: float) -> np.ndarray:
     return label
 
 
+def linkage_of_means(vectors: np.ndarray, eps: float) -> np.ndarray:
+    """The same labels from the clusters' mean vectors, without a matrix of all pairs.
+
+    The mean of the pairs' cosine distances of two clusters is one less the product of their means. A merged cluster
+    is no nearer to any other than the nearer of its parts was, so two clusters that are each other's nearest merge
+    before either meets a third: all such pairs of a round merge at once. Each row keeps its nearest cluster and a
+    bound of all others, and looks again once its nearest has grown further away than that bound. Memory is that of
+    the vectors and ROWS_AT_ONCE rows of distances. Of different pairs at equal distance rounding decides which merges first.
+    """
+    # equal vectors merge first, unless they are so short that they lie apart
+    _, first, copy_of, size = np.unique(vectors, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    label = np.where(1.0 - np.einsum("ij,ij->i", vectors, vectors) < min(eps, 1e-6), first[copy_of.ravel()], np.arange(len(vectors)))
+    name, size = np.unique(label, return_counts=True)
+    mean, size, head = vectors[name], size.astype(float), np.arange(len(vectors))
+    near, least, second = np.zeros(len(name), np.int64), np.full(len(name), -np.inf), np.full(len(name), -np.inf)
+    stale = np.ones(len(name), bool)
+
+    def look(rows: np.ndarray) -> None:
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            k = rows[at : at + ROWS_AT_ONCE]
+            i = np.arange(len(k))
+            d = 1.0 - mean[k] @ mean.T
+            d[:, gone] = np.inf
+            d[i, k] = np.inf
+            near[k] = d.argmin(axis=1)
+            least[k] = d[i, near[k]]
+            d[i, near[k]] = np.inf
+            second[k] = d.min(axis=1)
+        stale[rows] = False
+
+    gone = np.zeros(len(name), bool)
+    if len(name):
+        look(np.arange(len(name)))
+    while True:
+        # nothing below eps is left for these, now or later
+        gone |= least >= eps
+        least[gone] = np.inf
+        stale |= gone[near]
+        if gone.sum() * 4 > len(gone):
+            at = np.cumsum(~gone) - 1
+            name, mean, size, least, second, stale, near = (x[~gone] for x in (name, mean, size, least, second, stale, at[near]))
+            gone = np.zeros(len(name), bool)
+        if not len(name) or not np.isfinite(least).any():
+            break
+        own = np.arange(len(name))
+        a = np.nonzero((near[near] == own) & (own < near) & ~stale & ~stale[near] & ~gone)[0]
+        if not len(a) and (rows := np.nonzero(stale & ~gone)[0]).size:
+            look(rows[np.argsort(least[rows], kind="stable")[:ROWS_AT_ONCE]])
+            continue
+        if not len(a):  # equal distances that rounding has told apart
+            pair = sorted((int(np.argmin(least)), int(near[np.argmin(least)])))
+            near[pair] = pair[::-1]
+            a = np.array(pair[:1])
+        b = near[a]
+        both = size[a] + size[b]
+        mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / both[:, None]
+        size[a] = both
+        into = own.copy()
+        into[b] = a
+        gone[b], least[b] = True, np.inf
+        head[name[b]] = name[a]
+        merged = np.zeros(len(name), bool)
+        merged[a] = merged[b] = True
+        k = np.nonzero(merged[near] & ~merged & ~gone & ~stale)[0]
+        near[k] = into[near[k]]
+        d = 1.0 - np.einsum("ij,ij->i", mean[k], mean[near[k]])
+        least[k], stale[k] = np.minimum(d, second[k]), d > second[k]
+        look(a)
+    while not np.array_equal(head, head[head]):
+        head = head[head]
+    return head[label]
+
+
 def first_leaders(vectors: np.ndarray, eps: float) -> np.ndarray:
     """Labels (by first member): each face joins the nearest leader closer than eps, or leads from now on."""
     leaders: list[int] = []
@@ -94,7 +176,7 @@ def identities(faces: DataFrame, eps: float, method: str = "average") -> DataFra
 
     Faces further apart than eps from one another never merge, so the graph of pairs closer than eps
     falls into components that are clustered by themselves, each in one task. Clustering within a
-    component is quadratic in its faces: `leaders` is the way for large ones. Pairs are compared in
+    component takes memory in proportion to its faces and time by their square. Pairs are compared in
     blocks of faces times blocks of faces as matrix products.
     """
     own = checkpointed(faces.select("face_id", normalised(F.col("embedding")).alias("v")))

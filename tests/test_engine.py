@@ -2,6 +2,7 @@
 
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -198,6 +199,31 @@ def test_identities(spark):
     assert faces.identities(df.limit(0), 0.4).count() == 0
 
 
+def test_average_linkage_of_many_faces(monkeypatch):
+    """Beyond SMALL faces the labels are the same, and no matrix of all pairs is held."""
+    rng = np.random.default_rng(2)
+    cases = []
+    for k, spread in enumerate((0.05, 0.3, 1.0)):
+        x = rng.normal(size=(5, 6))[rng.integers(0, 5, 60)] + spread * rng.normal(size=(60, 6))
+        cases.append(x if k else x[rng.integers(0, 60, 60)])  # with copies
+    centres = rng.normal(size=(40, 16))
+    many = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (*cases, many)]
+    for x in unit[:-1]:
+        for eps in (0.1, 0.6, 0.9, 1.1):
+            assert faces.linkage_of_means(x, eps).tolist() == mean_linkage(x, eps)
+    tracemalloc.start()
+    got = faces.average_linkage(unit[-1], 0.6).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 8 / 4
+    monkeypatch.setattr(faces, "SMALL", 3000)
+    assert got == faces.average_linkage(unit[-1], 0.6).tolist()
+    one = np.array([[1.0, 0.0], [1e-12, 0.0], [1e-12, 0.0]])
+    assert faces.linkage_of_means(one[:1], 0.6).tolist() == [0] and faces.linkage_of_means(one, 0.6).tolist() == [0, 1, 2]
+    assert faces.linkage_of_means(np.zeros((0, 3)), 0.6).tolist() == []
+
+
 def test_pose_and_reject_key(spark):
     df = spark.createDataFrame([(0.0, None), (15.0, ""), (-15.0, "blurry (sharpness=1)"), (30.0, "aspect ratio 4 > 3"), (-45.0, "x"), (60.0, "y"), (None, "z")], "yaw double, reason string")
     got = df.select(scoring.pose_bucket(F.col("yaw"), FaceConfig()), scoring.reject_key(F.col("reason"))).collect()
