@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences by hierarchical residual packing.
+"""Best-fit packing of token sequences over classes of equally long pieces and of bins with equal room.
 
 Nulls count as empty texts, which are one end token. An empty table gives an empty result; repeated
 rows are packed each. Other columns are not read.
@@ -6,88 +6,134 @@ rows are packed each. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
 from .common import id_and_text, materialise, tidily
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill int, home int, open boolean"
-#: Pieces that a task packs at a time, which bounds its memory.
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, home bigint, rank int, alike int"
+SEATED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+#: Pieces that a task counts at a time, which bounds its memory.
 LOT = 100_000
-FAN_IN = 8
 
 
-def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each item, and the bins' fills: items by falling length, each into the fullest bin it fits.
+def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit by falling length of so many items of each length, as rows (length, first, items, bin, per, offset).
+
+    Items first to first + items of a length, counted from 0, go to the bins from `bin` on, `per` to each, from `offset`
+    on. Equal items fill the tightest bin that has room for one as far as they can before they turn to the next,
+    so bins of equal room are filled alike and at once. A row uses up a class of bins or ends a length, so there
+    are some rows for each length, whatever the counts.
 
-    A bit for each residual that some open bin has: the tightest fit is the lowest bit from the item's length on.
+    A bit for each room that some open bin has: the tightest fit is the lowest bit from the item's length on.
     """
-    bins, offsets, fills = [0] * len(lengths), [0] * len(lengths), []
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        n = lengths[k]
-        if above := mask >> n:
-            room = n + (above & -above).bit_length() - 1
-            b = open_bins[room].pop()
-            if not open_bins[room]:
-                mask ^= 1 << room
-        else:
-            room, b = capacity, len(fills)
-            fills.append(0)
-        bins[k], offsets[k] = b, fills[b]
-        fills[b] += n
-        if left := room - n:
-            open_bins[left].append(b)
-            mask |= 1 << left
-    return bins, offsets, fills
+    rows: list[tuple] = []
+    open_bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    mask = bins = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal mask
+        if room and n:
+            open_bins[room].append((first, n))
+            mask |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        done, left = 0, counts[length]
+        while left:
+            if above := mask >> length:
+                room = length + (above & -above).bit_length() - 1
+                first, n = open_bins[room].pop()
+                if not open_bins[room]:
+                    mask ^= 1 << room
+            else:
+                room, first = capacity, bins
+                n = -(-left // (capacity // length))
+                bins += n
+            per = room // length
+            # bins that take as many as they can, one that takes what is left, and those that stay as they are
+            for k, each in ((min(n, left // per), per), (1, left % per if left < n * per else 0)):
+                if k and each:
+                    rows.append((length, done, k * each, first, each, capacity - room))
+                    put(room - each * length, first, k)
+                    first, n, done, left = first + k, n - k, done + k * each, left - k * each
+            put(room, first, n)
+    return np.array(rows, np.int64).reshape(-1, 6)
+
+
+def seats(planned: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of items by length and number among the equally long ones."""
+    bits = int(planned[:, 2].sum()).bit_length()
+    order = np.argsort((planned[:, 0] << bits) + planned[:, 1])
+    length, first, _, bin_, per, offset = planned[order].T
+    at = np.searchsorted((length << bits) + first, (lengths << bits) + ranks, side="right") - 1
+    by, place = np.divmod(ranks - first[at], per[at])
+    return bin_[at] + by, offset[at] + place * lengths
+
+
+def ranked(lengths: list[int]) -> tuple[list[int], Counter]:
+    """Each item's number among the equally long ones, and how many there are of each length."""
+    counts: Counter = Counter()
+    ranks = []
+    for n in lengths:
+        ranks.append(counts[n])
+        counts[n] += 1
+    return ranks, counts
+
+
+def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each item, and the bins' fills: items by falling length, each into the fullest bin it fits."""
+    if not lengths:
+        return [], [], []
+    ranks, counts = ranked(lengths)
+    bins, offsets = seats(plan(counts, capacity), np.array(lengths, np.int64), np.array(ranks, np.int64))
+    return bins.tolist(), offsets.tolist(), np.bincount(bins, lengths).astype(int).tolist()
 
 
 def still_open(fills: list[int], most: int) -> list[bool]:
-    """Which bins travel on: of all that are filled alike, and not beyond `most`, one."""
+    """Which items stand for all that are alike: of each fill below `most`, the first."""
     seen: set[int] = set()
     return [f < most and f not in seen and not seen.add(f) for f in fills]
 
 
-def pack(docs: DataFrame, tokenizer: str, lower: bool = True, end_id: int = 1, capacity: int = 4096, tolerance: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, lower: bool = True, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Each scan partition encodes its texts and best-fits its pieces; bins with at most `tolerance`
-    tokens to spare are done. The others, and no pieces, are the items of further rounds: FAN_IN
-    partitions' bins meet in a task, which best-fits them into one another. A bin whose room is
-    smaller than the least bin left anywhere is done as well, so bins that nothing can fill don't
-    travel on, and of a task's bins that are filled alike only one does. So no task, the last one
-    included, has more than FAN_IN times `capacity` items, whatever the input. Texts are read and
-    encoded once and never shuffled.
+    Each scan partition encodes its texts and numbers its pieces among the equally long ones; of those, one
+    carries their number. The numbers add up to at most `capacity` counts of the whole table, which are all
+    that best fit needs: the result is that of best fit over all pieces, by falling length, in one place. Every
+    bin with room is open to every piece, wherever its partition. The plan is of some rows for each length;
+    a piece finds its row by its length and its number, for which a partition learns how many equally long
+    pieces were in those before. Texts are read and encoded once and never shuffled.
 
     Ties: of equally long pieces the one read first is placed first. A very long text is cut into
     pieces, which are packed like any others.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, home = bpe.load(tokenizer, lower), TaskContext.get().partitionId()
-        end, width, used = end_id.to_bytes(4, "little"), 4 * capacity, 0
+        tok, home = bpe.load(tokenizer, lower), TaskContext.get().partitionId() << 32
+        end, width = end_id.to_bytes(4, "little"), 4 * capacity
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal used, rows
-            bins, offsets, fills = best_fit([r[3] for r in rows], capacity)
-            opened = still_open(fills, capacity - tolerance)
+            nonlocal home, rows
+            lengths = [r[3] for r in rows]
+            ranks, counts = ranked(lengths)
+            alike = [counts[n] if one else 0 for n, one in zip(lengths, still_open(lengths, capacity + 1))]
             cols = list(zip(*rows))
-            first = (home << 32) + used
-            used += len(fills)
-            rows = []
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(cols, types)), pa.array([first + b for b in bins], pa.int64()), pa.array(offsets, pa.int64()), pa.array([fills[b] for b in bins], pa.int32()), pa.array([home] * len(bins), pa.int32()), pa.array([opened[b] for b in bins], pa.bool_())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "home", "open"],
+            out = pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(cols, types)), pa.array([home] * len(rows), pa.int64()), pa.array(ranks, pa.int32()), pa.array(alike, pa.int32())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "home", "rank", "alike"],
             )
+            home, rows = home + 1, []
+            return out
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -102,34 +148,16 @@ def pack(docs: DataFrame, tokenizer: str, lower: bool = True, end_id: int = 1, c
         tok.forget()
 
     pieces = materialise(id_and_text(docs, id_col, text_col).mapInArrow(tidily(local), PIECES), "pieces")
-    open_bins = pieces.where("open").select("bin", "fill", "home").distinct()
-    bins = materialise(open_bins, "bins")
-    placed = bins.select("bin", F.col("bin").alias("now"), F.lit(0).cast("bigint").alias("shift"))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["fill", "bin"], ascending=[False, True])
-        into, offsets, fills = best_fit(group["fill"].tolist(), capacity)
-        ids = group["bin"].tolist()
-        opened = still_open(fills, capacity - tolerance)
-        head: dict[int, int] = {}
-        for k, b in enumerate(into):
-            head.setdefault(b, ids[k])
-        return pd.DataFrame({"bin": ids, "into": [head[b] for b in into], "by": offsets, "total": [fills[b] for b in into], "home": group["home"] // FAN_IN, "open": [opened[b] for b in into]})
-
-    while True:
-        n, least, homes = bins.agg(F.count("*"), F.min("fill"), F.max("home")).first()
-        if not n:
-            break
-        items = bins.where(F.col("fill") <= capacity - least)
-        moves = materialise(items.groupBy(F.floor(F.col("home") / FAN_IN).alias("g")).applyInPandas(merge, "bin bigint, into bigint, by bigint, total int, home int, open boolean"), "moves")
-        placed = materialise(
-            placed.join(moves.select(F.col("bin").alias("now"), "into", "by"), "now", "left")
-            .select("bin", F.coalesce("into", "now").alias("now"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")),
-            "placed",
-        )
-        if homes < FAN_IN:
-            break
-        bins = materialise(moves.where((F.col("bin") == F.col("into")) & F.col("open")).select("bin", F.col("total").alias("fill"), "home"), "bins")
-    return pieces.join(placed, "bin", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("now", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
-    )
+    alike = pieces.where("alike > 0").select("home", "length", "alike")
+    planned = plan({r.length: r.n for r in alike.groupBy("length").agg(F.sum("alike").alias("n")).collect()}, capacity)
+    before = Window.partitionBy("length").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = alike.select("home", "length", F.coalesce(F.sum("alike").over(before), F.lit(0)).alias("earlier"))
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins, offsets = seats(planned, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    numbered = pieces.join(earlier, ["home", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("earlier")).alias("rank"))
+    return numbered.mapInArrow(seated, SEATED)

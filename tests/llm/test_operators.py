@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -169,6 +170,35 @@ def test_bins_that_are_filled_alike_do_not_travel(spark):
     assert packing.still_open([500, 301, 301, 151, 301, 151], 496) == [False, True, False, True, False, False]
 
 
+def test_bins_filled_alike_are_open_to_pieces_of_other_partitions(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    # each partition's bins are all filled alike, and only those of other partitions hold what fits into them
+    docs = spark.createDataFrame([(k, "a " * 300) for k in range(200)] + [(1000 + k, "a " * 200) for k in range(200)] + [(2000, "")] * 9, "doc_id long, text string").coalesce(4)
+    got = packing.pack(docs, path, capacity=511).collect()
+    assert sorted(Counter(r.length for r in got).items()) == [(1, 9), (201, 200), (301, 200)]
+    assert len({r.sequence_id for r in got}) == 200
+    assert len({(r.sequence_id, r.offset) for r in got}) == 409
+
+
+def test_plan_is_best_fit():
+    """Against best fit of one item after the other; as many rows for a million times the items."""
+    rng = random.Random(2)
+    for capacity, n, least in ((100, 500, 1), (64, 300, 20), (50, 200, 50), (97, 400, 30)):
+        sizes = [rng.randint(least, capacity) for _ in range(n)]
+        rooms = []
+        for size in sorted(sizes, reverse=True):
+            fits = [k for k, room in enumerate(rooms) if room >= size]
+            k = min(fits, key=lambda k: rooms[k]) if fits else len(rooms)
+            rooms[k : k + 1] = [(rooms[k] if fits else capacity) - size]
+        bins, offsets, fills = packing.best_fit(sizes, capacity)
+        assert sorted(capacity - f for f in fills) == sorted(rooms)
+        placed = sorted(zip(bins, offsets, sizes))
+        assert all(o == (p + s if b == c else 0) for (c, p, s), (b, o, _) in zip([(-1, 0, 0), *placed], placed))
+        many = packing.plan({s: c * 10**6 for s, c in Counter(sizes).items()}, capacity)
+        assert len(many) < 40 * capacity and many[:, 2].sum() == n * 10**6
+    assert packing.best_fit([], 10) == ([], [], [])
+
+
 def test_best_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
